@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import heavy, neartime
+from tonearm.llm import heavy, lookalike, neartime
 from tonearm.plans.registry import Registry
 from tonearm.sources.tables import epoch_seconds, table
 
@@ -86,3 +86,19 @@ def p5_all_plays(spark: SparkSession, sf: str) -> DataFrame:
     left, right = _plays_and_library(spark, sf)
     found = neartime.nearest_in_time(left, right, 120, keep_unmatched=True)
     return found.select(F.col("left_id").alias("scrobble_id"), F.col("right_id").alias("library_scrobble_id"))
+
+
+def _visible_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.distinct_texts(
+        table(spark, sf, "scrobbles", "title"), table(spark, sf, "media_file", "title"), table(spark, sf, "media_file", "artist")
+    )
+
+
+@REGISTRY.query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.equal_looking_pairs(_visible_texts(spark, sf))
+
+
+@REGISTRY.query("p2_canonical")
+def p2_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.canonical_column(_visible_texts(spark, sf), "text")

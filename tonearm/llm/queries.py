@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import heavy, lookalike, neartime
+from tonearm.llm import heavy, lookalike, neartime, sentences
 from tonearm.plans.registry import Registry
 from tonearm.sources.tables import epoch_seconds, table
 
@@ -102,3 +102,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 @REGISTRY.query("p2_canonical")
 def p2_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical_column(_visible_texts(spark, sf), "text")
+
+
+@REGISTRY.query("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "end_pos").distinct()
+
+
+@REGISTRY.query("p10_units")
+def p10_units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf, "documents", "doc_id", "text"))

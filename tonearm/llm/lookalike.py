@@ -15,7 +15,7 @@ added column's name is a parameter, so no name can clash.
 
 from __future__ import annotations
 
-import sys
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, reduce
@@ -44,7 +44,7 @@ def tables() -> tuple[dict[int, str], dict[str, str]]:
     several: dict[str, str] = {}
     letters = dict(zip(*CYRILLIC_LATIN)) | dict(zip(*GREEK_LATIN))
     one |= {ord(k): v for k, v in letters.items()}
-    for code in range(0x80, 0x10000 if sys.maxunicode > 0xFFFF else sys.maxunicode):
+    for code in range(0x80, 0x10000):
         c = chr(code)
         kind, _, rest = unicodedata.decomposition(c).partition(" ")
         if unicodedata.category(c) == "Zs":
@@ -87,18 +87,17 @@ def fold(text: str) -> str:
     """The canonical form of one string, for use on strings that are already in Python."""
     if text.isascii():
         return text
-    one, several = tables()
-    hidden = _hidden()
-    text = "".join(several.get(c, c) for c in text if not hidden(c))
-    text = unicodedata.normalize("NFC", text.translate(one))
-    return unicodedata.normalize("NFC", text.translate(one))
+    table = _fold_table()
+    text = unicodedata.normalize("NFC", text.translate(table))
+    return unicodedata.normalize("NFC", text.translate(table))
 
 
 @cache
-def _hidden():
-    import re
-
-    return re.compile(f"[{INVISIBLE}]").match
+def _fold_table() -> dict[int, str | None]:
+    one, several = tables()
+    hidden = re.compile(f"[{INVISIBLE}]")
+    out: dict[int, str | None] = {c: None for c in range(0x10000) if hidden.match(chr(c))}
+    return out | one | {ord(k): v for k, v in several.items()}
 
 
 def _canonical(column: str, into: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import heavy, lookalike, neartime, sentences
+from tonearm.llm import heavy, lookalike, neartime, sentences, tiling
 from tonearm.plans.registry import Registry
 from tonearm.sources.tables import epoch_seconds, table
 
@@ -112,3 +112,19 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 @REGISTRY.query("p10_units")
 def p10_units(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return tiling.leaked_items(
+        table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_items", "item_id", "text")
+    )
+
+
+@REGISTRY.query("p9_found")
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+@REGISTRY.query("p9_coverage")
+def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf)

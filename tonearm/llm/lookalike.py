@@ -87,17 +87,19 @@ def fold(text: str) -> str:
     """The canonical form of one string, for use on strings that are already in Python."""
     if text.isascii():
         return text
-    table = _fold_table()
-    text = unicodedata.normalize("NFC", text.translate(table))
-    return unicodedata.normalize("NFC", text.translate(table))
+    seen, images = _fold_table()
+    swap = lambda m: images[m.group()]
+    text = unicodedata.normalize("NFC", seen.sub(swap, text))
+    return unicodedata.normalize("NFC", seen.sub(swap, text))
 
 
 @cache
-def _fold_table() -> dict[int, str | None]:
+def _fold_table() -> tuple[re.Pattern, dict[str, str]]:
     one, several = tables()
     hidden = re.compile(f"[{INVISIBLE}]")
-    out: dict[int, str | None] = {c: None for c in range(0x10000) if hidden.match(chr(c))}
-    return out | one | {ord(k): v for k, v in several.items()}
+    images = {chr(c): "" for c in range(0x10000) if hidden.match(chr(c))}
+    images |= {chr(k): v for k, v in one.items()} | several
+    return re.compile("[" + re.escape("".join(images)) + "]"), images
 
 
 def _canonical(column: str, into: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import heavy, lookalike, neartime, sentences, tiling
+from tonearm.llm import heavy, lookalike, neartime, packing, sentences, tiling
 from tonearm.plans.registry import Registry
 from tonearm.sources.tables import epoch_seconds, table
 
@@ -128,3 +128,17 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 @REGISTRY.query("p9_coverage")
 def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf)
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.token_lengths(table(spark, sf, "documents", "doc_id", "text")))
+
+
+@REGISTRY.query("p8_packing")
+def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+@REGISTRY.query("p8_summary")
+def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packing_summary(_packed(spark, sf))

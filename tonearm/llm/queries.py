@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import heavy, lookalike, neartime, packing, sentences, tiling
+from tonearm.llm import heavy, lookalike, names, neartime, packing, sentences, tiling
 from tonearm.plans.registry import Registry
 from tonearm.sources.tables import epoch_seconds, table
 
@@ -142,3 +142,20 @@ def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
 @REGISTRY.query("p8_summary")
 def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(_packed(spark, sf))
+
+
+def _linked_names(spark: SparkSession, sf: str) -> DataFrame:
+    plays = table(spark, sf, "scrobbles", "artist", "album_artist")
+    written = plays.select(F.explode(F.array("artist", "album_artist")).alias("name")).where(F.col("name") != "")
+    library = table(spark, sf, "artist", "name").where(F.col("name") != "")
+    return names.link_names(written.unionByName(library).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+
+
+@REGISTRY.query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.spelling_pairs(_linked_names(spark, sf))
+
+
+@REGISTRY.query("p1_entities")
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return _linked_names(spark, sf)

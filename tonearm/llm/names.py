@@ -75,6 +75,7 @@ QUALIFIERS = {"symphony", "chamber", "string", "big", "jazz", "brass"}
 ARTICLES = {"the", "les", "der", "die", "das", "los", "las", "el", "la", "le", "il", "i"}
 ANDS = {"&", "+", "and", "et", "und", "y", "e", "n'", "n", "'n'", "’n’", "n’", "con"}
 GUEST = re.compile(r"\S\s*[(\[]?\s*\b(?:feat|ft|featuring|with)\b\.?\s+\S", re.IGNORECASE)
+ACCENTS = re.compile("[\u0300-\u036f]")
 WORD = re.compile(r"[^\s\-‐–,;()\[\]/]+")
 
 
@@ -102,9 +103,12 @@ class Reading(NamedTuple):
 
 
 def plain(text: str) -> str:
-    """Small letters without accents."""
-    folded = unicodedata.normalize("NFKD", fold(text))
-    return "".join(c for c in folded if not unicodedata.combining(c)).casefold()
+    """Small letters without accents; marks that make another letter, as in kana, stay."""
+    folded = fold(text)
+    if not folded.isascii():
+        folded = ACCENTS.sub("", unicodedata.normalize("NFKD", folded))
+        folded = unicodedata.normalize("NFC", folded)
+    return folded.casefold()
 
 
 def one_edit(a: str, b: str) -> bool:

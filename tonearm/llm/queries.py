@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import heavy, lookalike, names, neartime, packing, sentences, tiling
+from tonearm.llm import heavy, linkage, lookalike, names, neartime, packing, sentences, tiling
 from tonearm.plans.registry import Registry
-from tonearm.sources.tables import epoch_seconds, table
+from tonearm.sources.tables import epoch_seconds, present, table
 
 REGISTRY = Registry()
 
@@ -159,3 +159,29 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 @REGISTRY.query("p1_entities")
 def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
     return _linked_names(spark, sf)
+
+
+def _recordings(spark: SparkSession, sf: str) -> DataFrame:
+    sync = table(spark, sf, "scrobble_sync", "scrobble_id", "target", "status")
+    matched = sync.where((F.col("target") == "navidrome") & (F.col("status") == "matched")).select("scrobble_id")
+    scrobbles = table(spark, sf, "scrobbles", "id", "artist", "title", "album", "mbid_track")
+    plays = scrobbles.join(matched, F.col("id") == F.col("scrobble_id"), "left_anti").select(
+        F.col("id").alias("play_id"), "artist", "title", "album", F.col("mbid_track").alias("identifier")
+    )
+    ids = F.array("mbz_recording_id", "mbz_track_id")
+    tracks = table(spark, sf, "media_file", "id", "artist", "title", "album", "mbz_recording_id", "mbz_track_id").select(
+        F.col("id").alias("track_id"), "artist", "title", "album", F.filter(ids, lambda x: present(x)).alias("identifiers")
+    )
+    return linkage.link_recordings(plays, tracks)
+
+
+@REGISTRY.query("p7_found")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _recordings(spark, sf).select(
+        F.col("play_id").alias("scrobble_id"), F.col("track_id").alias("media_file_id")
+    ).distinct()
+
+
+@REGISTRY.query("p7_confidence")
+def p7_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return _recordings(spark, sf)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.session import durable
-from tonearm.sources.tables import present, present_any
+from tonearm.sources.tables import present, present_any, utc
 
 #: Orphan keys joined by broadcast: the most frequent ones, never more than this many.
 HOT_KEYS = 1000
@@ -80,7 +80,7 @@ def library_orphans(
     An annotation points to the table of its item_type; a row of any other item_type refers to no known table
     and does not come out.
     """
-    submitted = F.timestamp_seconds(F.col("submission_time"))
+    submitted = utc("submission_time")
     parts = [
         orphan_rows(
             scrobble_sync, "id", "scrobble_id", month_or_none(F.col("attempted_at")), scrobbles, "id", "scrobble_sync"

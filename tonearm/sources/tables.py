@@ -31,3 +31,8 @@ def present_any(df: DataFrame, column: str) -> Column:
 def epoch_seconds(column: str) -> Column:
     """Whole seconds since 1970 of a zone-less or zoned timestamp read as UTC."""
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{column}` AS TIMESTAMP_NTZ))")
+
+
+def utc(seconds: str) -> Column:
+    """Zone-less UTC timestamp of epoch seconds, whatever the session's zone."""
+    return F.expr(f"timestampadd(SECOND, `{seconds}`, TIMESTAMP_NTZ'1970-01-01 00:00:00')")

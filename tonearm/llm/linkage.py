@@ -32,6 +32,8 @@ from tonearm.session import durable
 from tonearm.sources.tables import present
 
 VOTES = ("title", "numbers", "take", "artist", "album", "identifier")
+#: Share of matches among candidates, and weight in candidates, of what the model holds before it sees data.
+PRIOR, STRENGTH = 0.7, 100
 EDITS = 2
 SEGMENTS = EDITS + 1
 OTHER_TITLES, OTHER_SHARE, OTHER_LETTERS = 3, 0.1, 4
@@ -248,7 +250,7 @@ class LabelModel:
         self.tables = np.stack([table(wrong_yes, wrong_no), table(say_yes, say_no)]) + 1e-3
         self.tables /= self.tables.sum(2, keepdims=True)
         self.start = self.tables.copy()
-        self.prior, self.weights = 0.7, np.ones(len(VOTES))
+        self.prior, self.weights = PRIOR, np.ones(len(VOTES))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         columns = np.arange(len(VOTES))
@@ -260,12 +262,12 @@ class LabelModel:
         for _ in range(self.rounds):
             p = self.posterior(votes)
             for k, w in enumerate((counts * (1 - p), counts * p)):
-                # The starting tables count as some candidates, so no rule is ever certain.
-                total = self.start[k] * 10
+                # The starting tables count as some candidates, so no rule is ever certain and few data change little.
+                total = self.start[k] * STRENGTH
                 for i in range(len(VOTES)):
                     total[i] += np.bincount(votes[:, i], w, 3)
                 self.tables[k] = total / total.sum(1, keepdims=True)
-            self.prior = float(np.clip((counts * p).sum() / counts.sum(), 0.01, 0.99))
+            self.prior = float(((counts * p).sum() + PRIOR * STRENGTH) / (counts.sum() + STRENGTH))
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
         if not len(patterns):

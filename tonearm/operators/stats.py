@@ -203,21 +203,21 @@ def anniversaries(plays: DataFrame, spark, item: str, now: datetime, years: int,
 
 
 def coverage(local: DataFrame, library: DataFrame) -> DataFrame:
-    """(month, lastfm, navidrome, gap, coverage) from two month series, merged in full."""
-    both = local.withColumnRenamed("plays", "lastfm").join(library.withColumnRenamed("plays", "navidrome"), "month", "full")
+    """(month, local, library, gap, coverage) from two month series, merged in full."""
+    both = local.withColumnRenamed("plays", "local").join(library.withColumnRenamed("plays", "library"), "month", "full")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return gap_row(both.select("month", zero("lastfm").alias("lastfm"), zero("navidrome").alias("navidrome")))
+    return gap_row(both.select("month", zero("local").alias("local"), zero("library").alias("library")))
 
 
 def gap_row(df: DataFrame) -> DataFrame:
-    share = F.when(F.col("lastfm") > 0, F.least(F.lit(100), F.round(F.col("navidrome") / F.col("lastfm") * 100)))
-    return df.withColumn("gap", F.greatest(F.lit(0), F.col("lastfm") - F.col("navidrome"))).withColumn(
+    share = F.when(F.col("local") > 0, F.least(F.lit(100), F.round(F.col("library") / F.col("local") * 100)))
+    return df.withColumn("gap", F.greatest(F.lit(0), F.col("local") - F.col("library"))).withColumn(
         "coverage", F.coalesce(share, F.lit(100)).cast("int")
     )
 
 
 def coverage_by_year(months: DataFrame) -> DataFrame:
     years = months.groupBy(F.substring("month", 1, 4).alias("year")).agg(
-        F.sum("lastfm").alias("lastfm"), F.sum("navidrome").alias("navidrome")
+        F.sum("local").alias("local"), F.sum("library").alias("library")
     )
     return gap_row(years).where(F.col("gap") >= 1).orderBy(F.col("gap").desc(), F.col("year").desc()).limit(10)

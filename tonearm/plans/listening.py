@@ -506,9 +506,9 @@ def anniversary_top(spark, sf):
 
 _GAPS = """WITH a AS (SELECT strftime(played_at, '%Y-%m') AS month, count(*) AS n FROM scrobbles GROUP BY 1),
   b AS (SELECT strftime(TIMESTAMP '1970-01-01' + to_seconds(submission_time), '%Y-%m') AS month, count(*) AS n FROM library_scrobbles GROUP BY 1),
-  g AS (SELECT coalesce(a.month, b.month) AS month, coalesce(a.n, 0) AS lastfm, coalesce(b.n, 0) AS navidrome FROM a FULL JOIN b ON a.month = b.month)
+  g AS (SELECT coalesce(a.month, b.month) AS month, coalesce(a.n, 0) AS local, coalesce(b.n, 0) AS library FROM a FULL JOIN b ON a.month = b.month)
 """
-_GAP = """greatest(0, lastfm - navidrome) AS gap, CAST(CASE WHEN lastfm > 0 THEN least(100, round(navidrome * 100.0 / lastfm)) ELSE 100 END AS INTEGER) AS coverage"""
+_GAP = """greatest(0, local - library) AS gap, CAST(CASE WHEN local > 0 THEN least(100, round(library * 100.0 / local)) ELSE 100 END AS INTEGER) AS coverage"""
 
 
 def _months(spark, sf):
@@ -516,15 +516,15 @@ def _months(spark, sf):
     return stats.coverage(per(local_plays(spark, sf)), per(library_plays(spark, sf)))
 
 
-@REGISTRY.query("disparity_by_month", _GAPS + f"SELECT month, lastfm, navidrome, {_GAP} FROM g")
+@REGISTRY.query("disparity_by_month", _GAPS + f"SELECT month, local, library, {_GAP} FROM g")
 def disparity_by_month(spark, sf):
     return _months(spark, sf)
 
 
 @REGISTRY.query(
     "disparity_by_year",
-    _GAPS + f""", y AS (SELECT substr(month, 1, 4) AS year, CAST(sum(lastfm) AS BIGINT) AS lastfm, CAST(sum(navidrome) AS BIGINT) AS navidrome FROM g GROUP BY 1)
-         SELECT * FROM (SELECT year, lastfm, navidrome, {_GAP} FROM y) AS z WHERE gap >= 1 ORDER BY gap DESC, year DESC LIMIT 10""",
+    _GAPS + f""", y AS (SELECT substr(month, 1, 4) AS year, CAST(sum(local) AS BIGINT) AS local, CAST(sum(library) AS BIGINT) AS library FROM g GROUP BY 1)
+         SELECT * FROM (SELECT year, local, library, {_GAP} FROM y) AS z WHERE gap >= 1 ORDER BY gap DESC, year DESC LIMIT 10""",
 )
 def disparity_by_year(spark, sf):
     return stats.coverage_by_year(_months(spark, sf))

@@ -73,7 +73,7 @@ DESCRIPTOR_FORMS = {
 HEADS = {"orchestra", "philharmonic", "ensemble", "choir", "trio", "quartet", "quintet", "band"}
 QUALIFIERS = {"symphony", "chamber", "string", "big", "jazz", "brass"}
 ARTICLES = {"the", "les", "der", "die", "das", "los", "las", "el", "la", "le", "il", "i"}
-ANDS = {"&", "+", "and", "et", "und", "y", "e", "n'", "n", "'n'", "’n’", "n’", "con"}
+ANDS = {"&", "+", "and", "et", "und", "y", "n'", "n", "'n'", "’n’", "n’"}
 GUEST = re.compile(r"\S\s*[(\[]?\s*\b(?:feat|ft|featuring|with)\b\.?\s+\S", re.IGNORECASE)
 ACCENTS = re.compile("[\u0300-\u036f]")
 WORD = re.compile(r"[^\s\-‐–,;()\[\]/]+")
@@ -143,7 +143,8 @@ def read(name: str) -> Reading | None:
     words = WORD.findall(text)
     if not words:
         return None
-    squeezed = [w.strip(".'’\"!?*_") if w not in ANDS else w for w in words]
+    # A lone "n" joins two names as it stands; "N." is an initial.
+    squeezed = ["&" if w in ANDS else w.strip(".'’\"!?*_") for w in words]
     if len(words) > 1:
         # A disc jockey's title, in front, behind, or in two parts.
         for title in (["d", "j"], ["dj"], ["d.j"], ["deejay"]):
@@ -157,8 +158,8 @@ def read(name: str) -> Reading | None:
     article = squeezed[0] in ARTICLES or (2 <= len(squeezed[0]) <= 4 and one_edit(squeezed[0], "the"))
     if len(squeezed) > 1 and article and squeezed[0] not in given_names():
         words, squeezed = words[1:], squeezed[1:]
-    duo = len(squeezed) > 2 and any(w in ANDS for w in squeezed[1:-1])
-    core = [w for i, w in enumerate(squeezed) if w and not (w in ANDS and 0 < i < len(squeezed) - 1)]
+    duo = len(squeezed) > 2 and "&" in squeezed[1:-1]
+    core = [w for i, w in enumerate(squeezed) if w and not (w == "&" and 0 < i < len(squeezed) - 1)]
     spelled = " ".join(_descriptor(w.replace(".", "")) for w in core).split()
     if len(spelled) > 2 and spelled[-2] in {"big", "jazz", "brass"} and one_edit(spelled[-1], "band"):
         spelled[-1] = "band"

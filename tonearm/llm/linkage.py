@@ -288,14 +288,22 @@ class LabelModel:
         return self
 
 
-def link_recordings(plays: DataFrame, tracks: DataFrame, least: float = 0.5) -> DataFrame:
+def link_recordings(
+    plays: DataFrame, tracks: DataFrame, least: float = 0.5, answered: DataFrame | None = None
+) -> DataFrame:
     """(play_id, track_id, confidence) of candidates whose posterior reaches ``least``.
 
+    All plays count in linking the names; those in ``answered`` (play_id) get no answer. They are taken out
+    of the candidates, which are narrow, and not out of the plays, so the plays' texts are moved once.
+
     An exact check follows the model: numbers and takes must agree, for another part or take is another recording
     however much else speaks for it.
     """
     spark = plays.sparkSession
-    found = durable(candidates(plays, tracks))
+    found = candidates(plays, tracks)
+    if answered is not None:
+        found = found.join(answered, "play_id", "left_anti")
+    found = durable(found)
     counted = found.groupBy("pattern").count().collect()  # at most 3^6 rows
     patterns = np.array([r["pattern"] for r in counted], np.int64)
     model = LabelModel().fit(patterns, np.array([r["count"] for r in counted], float))

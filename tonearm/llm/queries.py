@@ -163,16 +163,14 @@ def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 def _recordings(spark: SparkSession, sf: str) -> DataFrame:
     sync = table(spark, sf, "scrobble_sync", "scrobble_id", "target", "status")
-    matched = sync.where((F.col("target") == "navidrome") & (F.col("status") == "matched")).select("scrobble_id")
-    scrobbles = table(spark, sf, "scrobbles", "id", "artist", "title", "album", "mbid_track")
-    plays = scrobbles.join(matched, F.col("id") == F.col("scrobble_id"), "left_anti").select(
-        F.col("id").alias("play_id"), "artist", "title", "album", F.col("mbid_track").alias("identifier")
-    )
+    matched = sync.where((F.col("target") == "navidrome") & (F.col("status") == "matched"))
+    answered = matched.select(F.col("scrobble_id").alias("play_id"))
+    plays = table(spark, sf, "scrobbles", F.col("id").alias("play_id"), "artist", "title", "album", F.col("mbid_track").alias("identifier"))
     ids = F.array("mbz_recording_id", "mbz_track_id")
     tracks = table(spark, sf, "media_file", "id", "artist", "title", "album", "mbz_recording_id", "mbz_track_id").select(
         F.col("id").alias("track_id"), "artist", "title", "album", F.filter(ids, lambda x: present(x)).alias("identifiers")
     )
-    return linkage.link_recordings(plays, tracks)
+    return linkage.link_recordings(plays, tracks, answered=answered)
 
 
 @REGISTRY.query("p7_found")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import text
 from tonearm.operators import filters, matching, orphans, recommend, rolling, stats, sync
+from tonearm.plans import syncing
 from tonearm.sources import landing
 
 
@@ -120,6 +121,23 @@ def test_cascade_stages(spark):
     }
 
 
+def test_cascade_answers_plays_of_every_sync_state(spark, tmp_path):
+    plays = [(1, "Artist", "Song", None, None), (2, "Artist", "Other", None, None), (3, "zzz", "zzz", None, "id-3"), (4, "Artist", "Last", None, None),
+             (5, "Artist", "Sonk", None, None), (6, "Artist", "Othr", None, None), (7, "zzz", "Third", None, "id-3")]
+    states = [(1, "navidrome", "matched"), (2, "navidrome", "pending"), (4, "navidrome", "unmatched"), (5, "navidrome", "pending"), (3, "strawberry", "matched")]
+    tracks = [(f"m{i}", "Artist", "", t, "Album", "", f"id-{i}") for i, t in enumerate(["Song", "Other", "Last", "Third"])]
+    for name, data, schema in (
+        ("scrobbles", plays, "id long, artist string, title string, album string, mbid_track string"),
+        ("scrobble_sync", states, "scrobble_id long, target string, status string"),
+        ("media_file", tracks, "id string, artist string, album_artist string, title string, album string, mbz_track_id string, mbz_recording_id string"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = syncing.match_cascade(spark, str(tmp_path)).select("title", "media_file_id", "strategy")
+    assert rows(found) == [("Last", "m2", "couple"), ("Other", "m1", "couple"), ("Song", "m0", "couple"), ("Third", "m3", "mbid"), ("zzz", "m3", "mbid")]
+    # Only what the cascade left goes to the fuzzy match.
+    assert rows(syncing.fuzzy_match(spark, str(tmp_path))) == [("artist", "othr", "m1", 1), ("artist", "sonk", "m0", 1)]
+
+
 def test_near_strings_equals_brute_force(spark):
     import itertools
     import random

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import text
+from tonearm.session import durable
 from tonearm.sources.tables import present
 
 
@@ -120,16 +121,22 @@ def norm_table(plays: DataFrame, media_file: DataFrame) -> DataFrame:
     )
 
 
-def match_cascade(plays: DataFrame, media_file: DataFrame) -> DataFrame:
-    """(artist, title, album, mbid_track, media_file_id, strategy) of the requests that a stage answers."""
-    table = norm_table(plays, media_file)
-    requests, library = prepared_requests(plays, table), prepared_library(media_file, table)
+def answered(requests: DataFrame, library: DataFrame) -> DataFrame:
+    """(request, b) of the requests that a stage answers; ``b`` is the first such stage and its id."""
     stages = [
         by_identifier(requests, library).select("request", "id", F.lit(1).alias("stage")),
         by_triplet(requests.where(present("album")), library).select("request", "id", F.lit(2).alias("stage")),
         by_couple(requests, library).select("request", "id", F.lit(3).alias("stage")),
     ]
-    best = reduce(DataFrame.unionByName, stages).groupBy("request").agg(F.min(F.struct("stage", "id")).alias("b"))
+    return reduce(DataFrame.unionByName, stages).groupBy("request").agg(F.min(F.struct("stage", "id")).alias("b"))
+
+
+def match_cascade(plays: DataFrame, media_file: DataFrame) -> DataFrame:
+    """(artist, title, album, mbid_track, media_file_id, strategy) of the requests that a stage answers."""
+    # Several stages read all three, so each string is normalised once.
+    table = durable(norm_table(plays, media_file))
+    requests, library = durable(prepared_requests(plays, table)), durable(prepared_library(media_file, table))
+    best = answered(requests, library)
     name = F.element_at(F.array(F.lit("mbid"), F.lit("triplet"), F.lit("couple")), F.col("b.stage"))
     return requests.join(best, "request").select(
         "artist", "title", "album", "mbid_track", F.col("b.id").alias("media_file_id"), name.alias("strategy")

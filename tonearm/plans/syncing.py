@@ -392,15 +392,17 @@ def strip_artists(spark, sf):
     return t.select("artist", text.strip_featured(F.col("artist")).alias("plain"), text.lead_artist(F.col("artist")).alias("lead"))
 
 
-def _cascade_inputs(spark, sf):
-    u = _unmatched(spark, sf, "artist", "title", "album", "mbid_track")
-    m = table(spark, sf, "media_file", "id", "artist", "album_artist", "title", "album", "mbz_track_id", "mbz_recording_id")
-    return u, m
+_REQUEST = ("artist", "title", "album", "mbid_track")
+
+
+def _library(spark, sf):
+    return table(spark, sf, "media_file", "id", "artist", "album_artist", "title", "album", "mbz_track_id", "mbz_recording_id")
 
 
 @REGISTRY.query("match_cascade")
 def match_cascade(spark, sf):
-    return matching.match_cascade(*_cascade_inputs(spark, sf))
+    # Every play is a request, whatever its sync row says and whether it has one.
+    return matching.match_cascade(table(spark, sf, "scrobbles", *_REQUEST), _library(spark, sf))
 
 
 @REGISTRY.query(
@@ -410,31 +412,34 @@ def match_cascade(spark, sf):
               WHERE x <> '' GROUP BY x) k ON k.identifier = s.mbid_track""",
 )
 def match_by_identifier(spark, sf):
-    u, m = _cascade_inputs(spark, sf)
+    u, m = _unmatched(spark, sf, "mbid_track"), _library(spark, sf)
     r = u.select(F.col("mbid_track").alias("identifier")).distinct().withColumn("request", F.col("identifier"))
     return matching.by_identifier(r, m).select(F.col("request").alias("mbid_track"), F.col("id").alias("media_file_id"))
 
 
-def _norm_sides(spark, sf):
-    u, m = _cascade_inputs(spark, sf)
-    t = durable(matching.norm_table(u, m))
-    return matching.prepared_requests(u, t), durable(matching.prepared_library(m, t))
+def _norm_sides(spark, sf, plays):
+    m = _library(spark, sf)
+    t = durable(matching.norm_table(plays, m))
+    return matching.prepared_requests(plays, t), durable(matching.prepared_library(m, t))
 
 
 @REGISTRY.query("fuzzy_match")
 def fuzzy_match(spark, sf):
-    return matching.fuzzy_match(*_norm_sides(spark, sf), 2)
+    requests, library = _norm_sides(spark, sf, table(spark, sf, "scrobbles", *_REQUEST))
+    requests = durable(requests)
+    left = requests.join(matching.answered(requests, library), "request", "left_anti")
+    return matching.fuzzy_match(left, library, 2)
 
 
 @REGISTRY.query("nearest_names")
 def nearest_names(spark, sf):
-    asked, library = _norm_sides(spark, sf)
+    asked, library = _norm_sides(spark, sf, _unmatched(spark, sf, *_REQUEST))
     return matching.nearest_names(asked.select("a"), library.select("a"), 2)
 
 
 @REGISTRY.query("diagnose_unmatched")
 def diagnose_unmatched(spark, sf):
-    return matching.diagnose(*_norm_sides(spark, sf))
+    return matching.diagnose(*_norm_sides(spark, sf, _unmatched(spark, sf, *_REQUEST)))
 
 
 @REGISTRY.query(

@@ -9,7 +9,8 @@ a segment at a compatible place meet in one shard, whose names form a trie; a Le
 transpositions walks the trie and lists all neighbours within the bound. Two edits spoil at most three of four
 segments, unless both swap letters across segment borders, and then the names have the same letters, which is one
 more key to meet on: no neighbour is missed. A segment that many names share is split over several tries. Initials
-are matched against the words they abbreviate by the same join.
+are matched against the words they abbreviate by the same join, for any number of words and initials; a name of
+nothing but single letters abbreviates none.
 
 A class joins the nearest class that is clearly more frequent; two classes that are both well attested stay apart
 however close they are. A credit that joins a guest to an artist is left out.
@@ -26,7 +27,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import product
+from itertools import combinations, product
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -97,6 +98,10 @@ class Reading(NamedTuple):
     words: tuple[str, ...]
     initials: bool
 
+    @property
+    def letters(self) -> str:
+        return "".join(sorted(w for w in self.words if len(w) == 1))
+
     @property
     def key(self) -> str:
         return self.kind + "|" + " ".join(sorted(self.words))
@@ -182,27 +187,33 @@ def read(name: str) -> Reading | None:
     return Reading(kind, tuple(core), any(len(w) == 1 for w in core)) if core else None
 
 
+def spelled(words: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+    """A short form of several given names stands for each of them."""
+    return product(*[given_names().get(w, (w,)) if i in (0, len(words) - 1) else (w,) for i, w in enumerate(words)])
+
+
 def forms(reading: Reading) -> list[tuple[str, str]]:
     """(space, string) pairs under which a reading takes part in the trie join; strings meet within their space."""
-    words = reading.words
-    if reading.initials:
-        if len(words) == 3 and sum(len(w) == 1 for w in words) == 1:
-            letter = next(w for w in words if len(w) == 1)
-            return [(f"{reading.kind}|initial", letter + "".join(w for w in words if len(w) > 1))]
-        return []
     out = set()
-    # A short form of several given names takes part as each of them.
-    for spelled in product(*[given_names().get(w, (w,)) if i in (0, len(words) - 1) else (w,) for i, w in enumerate(words)]):
-        out |= {"".join(spelled), "".join(sorted(spelled)), "".join(sorted(spelled, key=lambda w: w[::-1]))}
-    return [(reading.kind, s) for s in sorted(out)]
+    for words in spelled(reading.words):
+        out |= {"".join(words), "".join(sorted(words)), "".join(sorted(words, key=lambda w: w[::-1]))}
+    rest = "".join(w for w in reading.words if len(w) > 1)
+    initial = [(initial_space(reading.kind, reading.letters), rest)] if reading.initials and rest else []
+    return [(reading.kind, s) for s in sorted(out)] + initial
 
 
-def abbreviated(reading: Reading) -> list[tuple[str, str]]:
-    """The strings that initials for one of three words would give."""
-    words = reading.words
-    if reading.initials or len(words) != 3:
-        return []
-    return [(f"{reading.kind}|initial", w[0] + "".join(words[:i] + words[i + 1 :])) for i, w in enumerate(words)]
+def initial_space(kind: str, letters: str) -> str:
+    return f"{kind}|{letters}|initial"
+
+
+def abbreviated(kind: str, words: tuple[str, ...], shapes: set[tuple[int, int]]) -> list[tuple[str, str]]:
+    """The pairs that initials for some of the words would give; ``shapes`` are the (words, initials) that occur."""
+    out = set()
+    for count in sorted(k for n, k in shapes if n == len(words)):
+        for variant, short in product(spelled(words), combinations(range(len(words)), count)):
+            letters = "".join(sorted(variant[i][0] for i in short))
+            out.add((initial_space(kind, letters), "".join(w for i, w in enumerate(variant) if i not in short)))
+    return sorted(out)
 
 
 class Automaton:
@@ -274,24 +285,36 @@ class Trie:
                     stack.append((child, after, depth + 1))
 
 
+PAIRS = pa.list_(pa.struct([("space", pa.string()), ("string", pa.string())]))
+
+
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, counts = batch.column("name").to_pylist(), batch.column("n").to_pylist()
         out = [(n, c, r) for n, c, r in ((n, c, read(n)) for n, c in zip(names, counts)) if r]
-        strings = [[{"space": k, "string": s} for k, s in forms(r) + abbreviated(r)] for _, _, r in out]
-        pair = pa.list_(pa.struct([("space", pa.string()), ("string", pa.string())]))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([n for n, _, _ in out], pa.string()),
                 pa.array([c for _, c, _ in out], pa.int64()),
                 pa.array([r.key for _, _, r in out], pa.string()),
-                pa.array([r.initials for _, _, r in out], pa.bool_()),
-                pa.array(strings, pair),
+                pa.array([r.letters for _, _, r in out], pa.string()),
+                pa.array([{"kind": r.kind, "words": list(r.words)} for _, _, r in out], pa.struct([("kind", pa.string()), ("words", pa.list_(pa.string()))])),
+                pa.array([[{"space": k, "string": s} for k, s in forms(r)] for _, _, r in out], PAIRS),
             ],
-            names=["name", "n", "key", "initials", "strings"],
+            names=["name", "n", "key", "letters", "reading", "strings"],
         )
 
 
+def _abbreviations(shapes: set[tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            readings = batch.column("reading").to_pylist()
+            strings = [[{"space": k, "string": s} for k, s in abbreviated(r["kind"], tuple(r["words"]), shapes)] for r in readings]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(strings, PAIRS)], names=["id", "strings"])
+
+    return run
+
+
 def _walk(shard: pa.Table) -> pa.Table:
     """Edges (u, v, space, distance) of one shard: a trie per block, walked by the block's probes."""
     shard = shard.sort_by([("block", "ascending"), ("salt", "ascending"), ("probe", "ascending")])
@@ -368,31 +391,43 @@ def link_names(names: DataFrame) -> DataFrame:
     """(name, n, entity) of ``names`` (name, n): spellings of one artist share the entity number."""
     usable = names.where(F.trim("name") != "").groupBy("name").agg(F.sum("n").cast("long").alias("n"))
     readings = usable.mapInArrow(
-        _readings, "name string, n long, key string, initials boolean, strings array<struct<space:string,string:string>>"
+        _readings,
+        "name string, n long, key string, letters string, reading struct<kind:string,words:array<string>>, "
+        "strings array<struct<space:string,string:string>>",
     )
     readings = durable(readings.withColumn("id", F.xxhash64("key")))
+    best = F.max_by(F.struct("reading", "strings"), F.struct("n", "name"))
     classes = durable(
-        readings.groupBy("id").agg(
-            F.sum("n").alias("weight"),
-            F.count(F.lit(1)).alias("spellings"),
-            F.first("initials").alias("initials"),
-            F.max_by("strings", F.struct("n", "name")).alias("strings"),
-        )
+        readings.groupBy("id")
+        .agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("spellings"), F.first("letters").alias("letters"), best.alias("best"))
+        .select("id", "weight", "spellings", "letters", (F.col("letters") != "").alias("initials"), "best.reading", "best.strings")
     )
-    strings = classes.select("id", F.explode("strings").alias("s")).select(
+    # Full names are abbreviated only in the ways in which some name is: few pairs of small numbers.
+    count = F.size("reading.words")
+    shapes = classes.where("initials").select(count, F.length("letters")).where(count > F.length("letters")).distinct()
+    shapes = {tuple(r) for r in shapes.collect()}
+    listed = classes.select("id", "strings")
+    if shapes:
+        whole = classes.where(~F.col("initials") & count.isin(sorted({n for n, _ in shapes}))).select("id", "reading")
+        short = whole.mapInArrow(_abbreviations(shapes), "id long, strings array<struct<space:string,string:string>>")
+        listed = listed.unionByName(short)
+    strings = listed.select("id", F.explode("strings").alias("s")).select(
         "id", "s.space", "s.string", F.endswith("s.space", F.lit("|initial")).alias("initial")
     )
     edges = trie_join(strings)
-    side = lambda c: classes.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("weight", "spellings", "initials")])
+    side = lambda c: classes.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("weight", "spellings", "initials", "letters")])
     edges = durable(edges.join(side("u"), "u").join(side("v"), "v"))
 
     heavier = F.struct("v_weight", "v") > F.struct(F.col("u_weight").alias("v_weight"), F.col("u").alias("v"))
     own = (F.col("u_spellings") >= OWN_SPELLINGS) & (F.col("u_weight") > OWN_SHARE * F.col("v_weight"))
-    up = edges.where(~F.col("initial") & heavier & ~own)
+    # A single letter is never a typo of another; without it, or joined to a word, the letters have to be the same.
+    alike = (F.col("u_letters") == F.col("v_letters")) & heavier & ~own
+    joined = F.expr("u_initials AND NOT v_initials AND distance = 0")
+    up = edges.where(~F.col("initial") & (alike | joined))
     parent = up.groupBy("u").agg(F.min(F.struct("distance", (-F.col("v_weight")).alias("w"), "v")).alias("best"))
     parent = parent.select(F.col("u").alias("id"), F.col("best.v").alias("root"))
     roots = classes.select("id").join(parent, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    # Every step leads to a heavier class; each round doubles the length of the chains that are followed.
+    # Every step leads to a heavier class or from one with single letters to one without; each round doubles the length of the chains that are followed.
     for _ in range(3):
         ahead = roots.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
         roots = durable(roots.join(ahead, "root").select("id", F.col("beyond").alias("root")))
@@ -410,7 +445,7 @@ def link_names(names: DataFrame) -> DataFrame:
     clear = ranked.where(
         "k = 1 AND (next IS NULL OR next_distance > distance OR root_weight >= 5 * next)"
     ).select(F.col("u").alias("id"), F.col("root").alias("full"))
-    final = roots.join(clear, "id", "left").select("id", F.coalesce("full", "root").alias("entity"))
+    final = roots.join(clear.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("full", "root").alias("entity"))
     return readings.join(final, "id").select("name", "n", "entity")
 
 

@@ -68,6 +68,14 @@ def test_single_letters_in_names_of_any_length(spark):
     assert linked_groups(spark, given) == {frozenset(g) for g in together}
 
 
+def test_well_attested_and_short_names_stay_apart(spark):
+    act = {"Karimos Dralo": 4000, "karimos dralo": 3000, "KARIMOS DRALO": 2990, "Karimso Dralo": 8}
+    star = {"Karinos Dralo": 600_000, "karinos dralo": 400_000, "Karinso Dralo": 900}
+    alone = [{"Kabo": 500}, {"Tamo": 3}, {"山田": 90}, {"山本": 3}, {"Lone Dralohas": 900_000}, {"Lome Dralohas": 400_000}]
+    given = {n: c for g in (act, star, *alone) for n, c in g.items()}
+    assert linked_groups(spark, given) == {frozenset(g) for g in (act, star, *alone)}
+
+
 def test_canonical_form_through_sql_equals_python(spark):
     given = [
         "Ｇａｔｅ　of​ Dawn", "Кеbab", "é", "é", "x²", "x2", "ﬁn Ⅱ", "ﾊﾞ", "a b", "a  b", "​", "", None,

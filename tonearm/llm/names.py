@@ -12,8 +12,8 @@ more key to meet on: no neighbour is missed. A segment that many names share is
 are matched against the words they abbreviate by the same join, for any number of words and initials; a name of
 nothing but single letters abbreviates none.
 
-A class joins the nearest class that is clearly more frequent; two classes that are both well attested stay apart
-however close they are. A credit that joins a guest to an artist is left out.
+A class joins the nearest class that is more frequent, within a bound that grows with its length; two classes that are
+both well attested, by their share or by plays and spellings alone, stay apart however close they are. A credit that joins a guest to an artist is left out.
 
 Defined cases: NULL, empty and blank names are no names; letter case counts as a difference between names and is
 ignored in comparing them; ties between equally near classes go to the more frequent one, then to the smaller key;
@@ -51,6 +51,8 @@ PLACES = [
 TRIE_NAMES = 2000
 #: A class with at least this many spellings and this share of the other's frequency is an act of its own.
 OWN_SPELLINGS, OWN_SHARE = 3, 0.3
+#: So many plays keep a class with that many spellings, or with that share, apart from any other, however frequent.
+OWN_PLAYS = 1000
 
 # Given names and their short forms.
 SHORT_FORMS = """
@@ -315,25 +317,34 @@ def _abbreviations(shapes: set[tuple[int, int]]):
     return run
 
 
-def _walk(shard: pa.Table) -> pa.Table:
-    """Edges (u, v, space, distance) of one shard: a trie per block, walked by the block's probes."""
+def edits(length: int) -> int:
+    """How many edits may lie between names of this length: short names are near to most others."""
+    return 0 if length < 4 else 1 if length < 8 else BOUND
+
+
+def _walk(shard: pa.Table, scaled: bool = False) -> pa.Table:
+    """Edges (u, v, space, distance) of one shard: a trie per block, walked by the block's probes.
+
+    ``scaled`` bounds the edits by the shorter string, and lets full names meet among their abbreviations only initials.
+    """
     shard = shard.sort_by([("block", "ascending"), ("salt", "ascending"), ("probe", "ascending")])
-    columns = [shard.column(c).to_pylist() for c in ("block", "salt", "probe", "id", "string", "initial")]
+    columns = [shard.column(c).to_pylist() for c in ("block", "salt", "probe", "id", "string", "initial", "full")]
     automaton = Automaton()
     found: dict[tuple[int, int, bool], int] = {}
     start, n = 0, shard.num_rows
-    block, salt, probe, ids, strings, initial = columns
+    block, salt, probe, ids, strings, initial, full = columns
     while start < n:
         end = start + 1
         while end < n and block[end] == block[start] and salt[end] == salt[start]:
             end += 1
         middle = next((k for k in range(start, end) if probe[k]), end)
         if start < middle < end and any(ids[k] != ids[start] for k in range(start, end)):
-            trie = Trie((strings[k], ids[k]) for k in range(start, middle))
+            trie = Trie((strings[k], k) for k in range(start, middle))
             for k in range(middle, end):
-                for other, distance in trie.near(strings[k], automaton):
-                    if other != ids[k]:
-                        edge = (ids[k], other, initial[k])
+                for j, distance in trie.near(strings[k], automaton):
+                    far = scaled and (distance > edits(min(len(strings[k]), len(strings[j]))) or (initial[k] and full[k] and full[j]))
+                    if ids[j] != ids[k] and not far:
+                        edge = (ids[k], ids[j], initial[k])
                         found[edge] = min(distance, found.get(edge, distance))
         start = end
     return pa.table(
@@ -346,12 +357,14 @@ def _walk(shard: pa.Table) -> pa.Table:
     )
 
 
-def trie_join(strings: DataFrame) -> DataFrame:
+def trie_join(strings: DataFrame, scaled: bool = False) -> DataFrame:
     """(u, v, initial, distance), both ways, of all strings within the bound in one space.
 
-    ``strings`` is (id long, space, string, initial boolean). Segments are cut and placed in the JVM; only the
+    ``strings`` is (id long, space, string, initial boolean), if ``scaled`` with full boolean, which tells names
+    without single letters; the bound then depends on the length. Segments are cut and placed in the JVM; only the
     blocks reach Python.
     """
+    strings = strings if scaled else strings.withColumn("full", F.lit(False))
     shards = 2 * int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.length("string")
     border = lambda length, i: F.floor(length * i / SEGMENTS)
@@ -366,7 +379,7 @@ def trie_join(strings: DataFrame) -> DataFrame:
         for d, i, s in PLACES
     ] + [letters]
     rows = lambda keys, probe: strings.select(
-        "id", "string", "initial", F.lit(probe).alias("probe"), F.explode(F.array_distinct(F.array(*keys))).alias("block")
+        "id", "string", "initial", "full", F.lit(probe).alias("probe"), F.explode(F.array_distinct(F.array(*keys))).alias("block")
     ).where(F.col("block").isNotNull())
     indexed, probing = rows(index, False), rows(probes, True)
     crowded = (
@@ -382,7 +395,7 @@ def trie_join(strings: DataFrame) -> DataFrame:
     sent = probing.join(crowded, "block", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     both = dealt.drop("salts").unionByName(sent.drop("salts"))
     shard = F.pmod(F.xxhash64("block", "salt"), F.lit(shards)).alias("shard")
-    edges = both.select("*", shard).groupBy("shard").applyInArrow(_walk, "u long, v long, initial boolean, distance long")
+    edges = both.select("*", shard).groupBy("shard").applyInArrow(lambda t: _walk(t, scaled), "u long, v long, initial boolean, distance long")
     ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "initial", "distance"))
     return ways.groupBy("u", "v", "initial").agg(F.min("distance").alias("distance"))
 
@@ -406,20 +419,23 @@ def link_names(names: DataFrame) -> DataFrame:
     count = F.size("reading.words")
     shapes = classes.where("initials").select(count, F.length("letters")).where(count > F.length("letters")).distinct()
     shapes = {tuple(r) for r in shapes.collect()}
-    listed = classes.select("id", "strings")
+    listed = classes.select("id", "strings", (~F.col("initials")).alias("full"))
     if shapes:
         whole = classes.where(~F.col("initials") & count.isin(sorted({n for n, _ in shapes}))).select("id", "reading")
         short = whole.mapInArrow(_abbreviations(shapes), "id long, strings array<struct<space:string,string:string>>")
-        listed = listed.unionByName(short)
-    strings = listed.select("id", F.explode("strings").alias("s")).select(
-        "id", "s.space", "s.string", F.endswith("s.space", F.lit("|initial")).alias("initial")
+        listed = listed.unionByName(short.withColumn("full", F.lit(True)))
+    strings = listed.select("id", "full", F.explode("strings").alias("s")).select(
+        "id", "full", "s.space", "s.string", F.endswith("s.space", F.lit("|initial")).alias("initial")
     )
-    edges = trie_join(strings)
+    edges = trie_join(strings, scaled=True)
     side = lambda c: classes.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("weight", "spellings", "initials", "letters")])
     edges = durable(edges.join(side("u"), "u").join(side("v"), "v"))
 
     heavier = F.struct("v_weight", "v") > F.struct(F.col("u_weight").alias("v_weight"), F.col("u").alias("v"))
-    own = (F.col("u_spellings") >= OWN_SPELLINGS) & (F.col("u_weight") > OWN_SHARE * F.col("v_weight"))
+    spelt, share = F.col("u_spellings") >= OWN_SPELLINGS, F.col("u_weight") > OWN_SHARE * F.col("v_weight")
+    # Typos have few spellings of their own and do not come near the plays of the name; moved words are no typos.
+    attested = (F.col("distance") > 0) & (F.col("u_weight") >= OWN_PLAYS) & (spelt | share)
+    own = (spelt & share) | attested
     # A single letter is never a typo of another; without it, or joined to a word, the letters have to be the same.
     alike = (F.col("u_letters") == F.col("v_letters")) & heavier & ~own
     joined = F.expr("u_initials AND NOT v_initials AND distance = 0")

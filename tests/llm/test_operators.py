@@ -76,6 +76,12 @@ def test_well_attested_and_short_names_stay_apart(spark):
     assert linked_groups(spark, given) == {frozenset(g) for g in (act, star, *alone)}
 
 
+def test_chains_of_spellings_end_at_one_root(spark):
+    word = "karimosdralohanebuti"
+    given = {"x" * i + word[i:]: 10 + i for i in range(14)}
+    assert linked_groups(spark, given) == {frozenset(given)}
+
+
 def test_canonical_form_through_sql_equals_python(spark):
     given = [
         "Ｇａｔｅ　of​ Dawn", "Кеbab", "é", "é", "x²", "x2", "ﬁn Ⅱ", "ﾊﾞ", "a b", "a  b", "​", "", None,

@@ -443,10 +443,14 @@ def link_names(names: DataFrame) -> DataFrame:
     parent = up.groupBy("u").agg(F.min(F.struct("distance", (-F.col("v_weight")).alias("w"), "v")).alias("best"))
     parent = parent.select(F.col("u").alias("id"), F.col("best.v").alias("root"))
     roots = classes.select("id").join(parent, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    # Every step leads to a heavier class or from one with single letters to one without; each round doubles the length of the chains that are followed.
-    for _ in range(3):
+    # Every step leads to a heavier class or from one with single letters to one without; each round doubles the length of the chains that are followed,
+    # until all have ended.
+    moved = True
+    while moved:
         ahead = roots.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
-        roots = durable(roots.join(ahead, "root").select("id", F.col("beyond").alias("root")))
+        step = roots.join(ahead, "root").select("id", F.col("beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("moved"))
+        step = durable(step)
+        moved, roots = not step.where("moved").isEmpty(), step.drop("moved")
 
     short = edges.where("initial AND u_initials AND NOT v_initials AND distance <= 1")
     rooted = short.join(roots.withColumnRenamed("id", "v"), "v")

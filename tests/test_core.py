@@ -138,6 +138,12 @@ def test_cascade_answers_plays_of_every_sync_state(spark, tmp_path):
     assert rows(syncing.fuzzy_match(spark, str(tmp_path))) == [("artist", "othr", "m1", 1), ("artist", "sonk", "m0", 1)]
 
 
+def test_guests_are_left_out_at_every_separator(spark):
+    library = spark.createDataFrame([("m1", "x with y feat z", "", "song"), ("m2", "with y", "", "song"), ("m3", "x", "", "song")], "id string, a string, aa string, t string")
+    led = matching.couple_entries(library).where("mode = 'feat'").select("a", "id")
+    assert set(rows(led)) == {("x", "m1"), ("x with y", "m1")}
+
+
 def test_near_strings_equals_brute_force(spark):
     import itertools
     import random

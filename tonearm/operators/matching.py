@@ -51,11 +51,13 @@ def by_triplet(requests: DataFrame, library: DataFrame) -> DataFrame:
 
 def couple_entries(library: DataFrame) -> DataFrame:
     """(mode, a, t, rank, id): the keys under which a track answers each kind of request."""
-    feat = F.explode(F.split("a", " (?:feat|ft|featuring|with) ")).alias("lead")
-    prefix = F.element_at(F.split("a", " (?:feat|ft|featuring|with) "), 1)
+    # The text before each of the separators, not only before the first.
+    words, marks = F.split("a", " "), ("feat", "ft", "featuring", "with")
+    before = lambda w, i: F.when(w.isin(*marks) & (i > 0) & (i < F.size(words) - 1), F.array_join(F.slice(words, 1, i), " "))
+    prefixes = F.explode(F.array_compact(F.transform(words, before))).alias("a")
     own = library.select(F.lit("any").alias("mode"), "a", "t", F.lit(0).alias("rank"), "id")
     album = library.where(present("aa")).select(F.lit("any").alias("mode"), F.col("aa").alias("a"), "t", F.lit(1).alias("rank"), "id")
-    led = library.where(F.col("a") != prefix).select(F.lit("feat").alias("mode"), prefix.alias("a"), "t", F.lit(0).alias("rank"), "id")
+    led = library.select(F.lit("feat").alias("mode"), prefixes, "t", F.lit(0).alias("rank"), "id")
     both = library.where(F.col("a") == F.col("aa")).select(F.lit("both").alias("mode"), "a", "t", F.lit(0).alias("rank"), "id")
     return own.unionByName(album).unionByName(led).unionByName(both).where(present("a") & present("t"))
 

@@ -27,32 +27,79 @@ def test_orphans_nulls_empties_and_clashing_columns(spark):
     assert orphans.orphan_rows(child, "id", "ref", F.lit("p"), parent.limit(0), "ref", "t").count() == 4
 
 
-def test_rolling_state_equals_brute_force_and_corrections(spark):
-    daily = {("u", 0): 3, ("u", 5): 1, ("u", 40): 2, ("v", 7): 4}
-    day = lambda n: date.fromordinal(date(2024, 1, 1).toordinal() + n)
-    df = spark.createDataFrame([(e, day(d), n) for (e, d), n in daily.items()], "entity string, day date, n long")
-    got = {(r.entity, (r.day - day(0)).days): (r.t7, r.t30) for r in rolling.every_day(rolling.state_runs(df)).collect()}
-    want = {}
-    for e, lo, hi in (("u", 0, 40), ("v", 7, 7)):
-        for d in range(lo, hi + 1):
-            want[e, d] = tuple(sum(n for (x, k), n in daily.items() if x == e and d - w < k <= d) for w in (7, 30))
-    assert got == want
-    state = rolling.every_day(rolling.state_runs(df.where("NOT (entity = 'u' AND n = 1)"))).select("entity", "day", "t7", "t30", "version")
-    fixed = rolling.correct(state, spark.createDataFrame([("u", day(5), 1)], "entity string, day date, n long"))
-    assert {(r.entity, (r.day - day(0)).days): (r.t7, r.t30) for r in fixed.collect()} == want
-    assert fixed.where("version = 1").count() == 30
-    yesterday = rolling.every_day(rolling.state_runs(df)).where(F.col("day") == day(11)).select("entity", "t7", "t30")
-    assert rows(rolling.advance(yesterday, df, str(day(12))).select("entity", "t7", "t30")) == [("u", 0, 4)]
-    assert rolling.state_runs(df.limit(0)).count() == 0
+DAY = lambda n: date.fromordinal(date(2024, 1, 1).toordinal() + n)
+
+
+def amounts(spark, daily):
+    return spark.createDataFrame([(e, DAY(d), n) for (e, d), n in daily.items()], "entity string, day date, n long")
+
+
+def totals(state):
+    return {(r.entity, (r.day - DAY(0)).days): (r.n, r.t7, r.t30) for r in state.collect()}
+
+
+def rebuilt(daily):
+    out = {}
+    for e in {e for e, _ in daily}:
+        own = {d: n for (x, d), n in daily.items() if x == e}
+        for d in range(min(own), max(own) + 1):
+            out[e, d] = (own.get(d, 0), *(sum(n for k, n in own.items() if d - w < k <= d) for w in (7, 30)))
+    return out
+
+
+def test_rolling_state_is_kept_through_versions_like_a_full_rebuild(spark):
+    import random
+
+    for seed in (1,):
+        random.seed(seed)
+        log, known = None, {}
+        for version in range(3):
+            # New days, late amounts of any age, returns after long gaps, withdrawals and new entities at once.
+            batch = {(random.choice("uvwxyz"), random.randint(0, 60 * (version + 1))): random.randint(1, 5) for _ in range(random.choice((1, 8)))}
+            withdrawn = [k for k, n in known.items() if n > 1][:2]
+            batch |= {k: -1 for k in withdrawn}
+            for k, n in batch.items():
+                known[k] = known.get(k, 0) + n
+            state = rolling.current(log) if log is not None else rolling.empty_state(spark)
+            part = rolling.step(state, amounts(spark, batch), version)
+            before = totals(state)
+            changed = {k for k, t in rebuilt(known).items() if before.get(k) != t}
+            written = set(totals(part))
+            assert changed <= written
+            assert all(k not in before or any(e == k[0] and d <= k[1] < d + 30 for e, d in batch) for k in written)
+            log = part if log is None else log.unionByName(part)
+            log = spark.createDataFrame(log.collect(), log.schema)
+        assert totals(rolling.current(log)) == rebuilt(known)
+
+
+def test_rolling_corrections_fill_gaps_and_new_entities_end_with_their_last_day(spark):
+    state = rolling.current(rolling.step(rolling.empty_state(spark), amounts(spark, {("u", 60): 2}), 0))
+    out = totals(rolling.correct(state, amounts(spark, {("u", 0): 1, ("v", 5): 4, ("u", 75): 1}), 1))
+    # Day 60 lies beyond the reach of the play of day 0 and before the gap to day 75.
+    assert sorted(out) == [*(("u", d) for d in range(76) if d != 60), ("v", 5)]
+    assert out["u", 59] == (0, 0, 0) and out["u", 29] == (0, 0, 1) and out["u", 75] == (1, 1, 3)
+
+
+def test_rolling_advance_carries_live_entities_only(spark):
+    state = rolling.step(rolling.empty_state(spark), amounts(spark, {("u", 0): 3, ("v", 9): 1}), 0)
+    for d in range(10, 33):
+        state = state.unionByName(rolling.advance(state, amounts(spark, {("w", d): 1} if d == 31 else {("w", 99): 1}), str(DAY(d)), 1))
+        state = spark.createDataFrame(state.collect(), state.schema)
+    got = totals(state)
+    assert got["u", 10] == (0, 0, 3) and got["u", 29] == (0, 0, 3) and got["u", 30] == (0, 0, 0) and ("u", 31) not in got
+    assert got["v", 32] == (0, 0, 1) and got["w", 32] == (0, 1, 1)
+    # Only the days up to the last activity are reported.
+    assert rolling.with_averages(state).where("entity = 'v'").count() == 1
+    assert rolling.maintain(amounts(spark, {("u", 0): 1}).withColumn("version", F.lit(1)).limit(0)).count() == 0
 
 
 def test_distinct_plays_ignores_repeats_and_missing_users(spark):
-    at = datetime(2024, 1, 1, 3)
+    at, later = datetime(2024, 1, 1, 3), datetime(2024, 8, 1)
     df = spark.createDataFrame(
-        [("u", at, "a", "t"), ("u", at, "a", "t"), ("u", at, None, "t"), (None, at, "a", "t"), ("", at, "a", "t"), ("u", None, "a", "t")],
-        "lastfm_user string, played_at timestamp_ntz, artist string, title string",
+        [("u", at, "a", "t", at), ("u", at, "a", "t", None), ("u", at, None, "t", later), (None, at, "a", "t", at), ("", at, "a", "t", at), ("u", None, "a", "t", at)],
+        "lastfm_user string, played_at timestamp_ntz, artist string, title string, fetched_at timestamp_ntz",
     )
-    assert rows(rolling.distinct_plays(df)) == [("u", date(2024, 1, 1), 2)]
+    assert rows(rolling.distinct_plays(df)) == [("u", date(2024, 1, 1), 1, 4048), ("u", date(2024, 1, 1), 1, 4049)]
 
 
 @pytest.mark.parametrize(

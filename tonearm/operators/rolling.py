@@ -1,17 +1,22 @@
 """Rolling totals over trailing periods, kept as versioned daily state.
 
-A total over the last w days obeys total(d) = total(d-1) + arrivals(d) - arrivals(d-w). The arrivals and the
-amounts that expire are both rows of one change table, so the state of every day follows from yesterday's state
-by one running sum per entity over its change days only; days between two changes share one row
-(``from_day``..``to_day``), which is how days without activity are covered without being stored.
-
-The state carries a version. ``advance`` makes the next day's state from yesterday's, today's arrivals and the
-expiring day's amounts; ``correct`` adds late or withdrawn amounts, which touches only the dates from each
-amount's day to w - 1 days later.
-
-Defined cases: an event without entity (NULL or empty) or without time belongs to no total; an entity with one
-event has one day; repeated events count as given (deduplicate first where the data repeat); an empty table
-gives an empty state; further columns are not read.
+The state has one row per entity and day from the entity's first day on: the day's own amount ``n`` and a total per
+window. A total over the last w days obeys total(d) = total(d - 1) + arrivals(d) - arrivals(d - w), and ``step`` does
+just that: per entity it joins yesterday's totals (the state's row before the first affected date) with what arrives
+and with the amounts of the state that expire, and carries the sum forward over the affected dates. It returns only
+rows of affected dates, under a new version; nothing is rewritten, and the state as of now is the newest version of
+every entity and day (``current``).
+
+One step takes a day's arrivals (``advance``), late or withdrawn amounts of any age (``correct``), or a whole period
+of both at once, as ``maintain`` does with the amounts of each fetch period in turn.
+
+Affected are the days from a changed amount to w - 1 days later for the longest window, and the days without activity
+between what the state covered and a day it did not: a late amount before the first known day adds all days up to it,
+one after the newest day all days from there on.
+
+Defined cases: an event without entity (NULL or empty) or without time belongs to no total; an entity with one event
+has one day; repeated events count as given (deduplicate first where the data repeat); a play without fetch time
+counts as fetched when it was played; an empty table gives an empty state; further columns are not read.
 """
 
 from __future__ import annotations
@@ -19,17 +24,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.session import durable
 from tonearm.sources.tables import present
 
+WINDOWS = (7, 30)
+
 
 def distinct_plays(plays: DataFrame) -> DataFrame:
-    """(entity, day, n): distinct (lastfm_user, played_at, artist, title) per user and UTC day.
+    """(entity, day, n, version): distinct (lastfm_user, played_at, artist, title) per user, UTC day and version.
 
-    The wide shuffle carries two 64-bit hashes of the four columns in place of the strings; the pair identifies
-    a play (chance of any collision among 10^12 plays of one user and second: below 10^-14).
+    A play belongs to the version in which it was first fetched: the half-year of its earliest ``fetched_at``, counted
+    from year 0. The wide shuffle carries two 64-bit hashes of the four columns in place of the strings; the pair
+    identifies a play (chance of any collision among 10^12 plays of one user and second: below 10^-14).
     """
     own = plays.where(present("lastfm_user") & F.col("played_at").isNotNull())
     identity = [F.coalesce(F.col("artist"), F.lit("\u0000")), F.coalesce(F.col("title"), F.lit("\u0000"))]
@@ -38,135 +47,151 @@ def distinct_plays(plays: DataFrame) -> DataFrame:
         F.col("played_at"),
         F.xxhash64(*identity).alias("h1"),
         F.xxhash64(F.lit(1), *identity).alias("h2"),
+        F.coalesce(F.col("fetched_at"), F.col("played_at")).alias("at"),
     )
-    once = keys.groupBy("entity", "played_at", "h1", "h2").agg(F.lit(1).alias("one"))
-    return daily_amounts(once.select("entity", F.to_date("played_at").alias("day"), F.lit(1).alias("amount")))
+    once = keys.groupBy("entity", "played_at", "h1", "h2").agg(F.min("at").alias("at"))
+    version = (F.year("at") * 2 + F.floor((F.month("at") - 1) / 6).cast("int")).alias("version")
+    return daily_amounts(once.select("entity", F.to_date("played_at").alias("day"), F.lit(1).alias("amount"), version), "version")
 
 
-def daily_amounts(events: DataFrame) -> DataFrame:
+def daily_amounts(events: DataFrame, *further: str) -> DataFrame:
     """(entity, day, n) from rows (entity, day, amount); the partial sums run before the shuffle."""
-    return events.groupBy("entity", "day").agg(F.sum("amount").cast("long").alias("n"))
-
-
-def changes(daily: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """(entity, day, d<w>...): what each total gains on its arrival day and loses when the amount expires."""
-    zero = {w: F.lit(0).cast("long").alias(f"d{w}") for w in windows}
-    arrive = daily.select("entity", "day", *[F.col("n").alias(f"d{w}") for w in windows], F.lit(1).alias("active"))
-    parts = [arrive] + [
-        daily.select(
-            "entity",
-            F.date_add("day", w).alias("day"),
-            *[(-F.col("n")).alias(f"d{w}") if v == w else zero[v] for v in windows],
-            F.lit(0).alias("active"),
-        )
-        for w in windows
-    ]
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("entity", "day")
-        .agg(*[F.sum(f"d{w}").alias(f"d{w}") for w in windows], F.max("active").alias("active"))
+    return events.groupBy("entity", "day", *further).agg(F.sum("amount").cast("long").alias("n")).select("entity", "day", "n", *further)
+
+
+def empty_state(spark, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    totals = ", ".join(f"t{w} long" for w in windows)
+    return spark.createDataFrame([], f"entity string, day date, n long, {totals}, version int")
+
+
+def current(log: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """The newest version of every entity and day; partitioned by entity, so what follows per entity does not shuffle."""
+    fields = ["n", *[f"t{w}" for w in windows], "version"]
+    newest = log.repartition("entity").groupBy("entity", "day").agg(F.max_by(F.struct(*fields), "version").alias("s"))
+    return newest.select("entity", "day", *[F.col(f"s.{f}").alias(f) for f in fields])
+
+
+def spans(state: DataFrame, batch: DataFrame, longest: int) -> DataFrame:
+    """(entity, start, end, known_first, known_last): the dates to recompute for each entity of ``batch``."""
+    known = state.groupBy("entity").agg(F.min("day").alias("known_first"), F.max("day").alias("known_last"))
+    asked = batch.groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    newest = F.greatest("hi", "known_last")
+    reach = F.greatest(F.date_add("hi", longest - 1), F.date_sub("known_first", 1))
+    return asked.join(known, "entity", "left").select(
+        "entity",
+        F.least("lo", F.date_add("known_last", 1)).alias("start"),
+        F.least(newest, reach).alias("end"),
+        "known_first",
+        "known_last",
     )
 
 
-def state_runs(daily: DataFrame, windows: Sequence[int] = (7, 30), version: int = 0) -> DataFrame:
-    """(entity, from_day, to_day, first_day, last_day, t<w>..., version): the state, one row per run of equal days.
+def step(state: DataFrame, batch: DataFrame, version: int, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """The rows (entity, day, n, t<w>..., version) of the dates that ``batch`` (entity, day, n) affects.
 
-    One entity's change days number at most (1 + len(windows)) times its calendar days, so a window over one
-    entity stays small however many events it has.
+    ``state`` holds one row per entity and day (``current``). One entity has at most one row per calendar day, so a
+    window over one entity stays small however many events it has.
     """
-    through = Window.partitionBy("entity").orderBy("day")
-    whole = Window.partitionBy("entity")
-    running = through.rowsBetween(Window.unboundedPreceding, 0)
-    on = changes(daily, windows).select(
-        "entity",
-        F.col("day").alias("from_day"),
-        F.lead("day").over(through).alias("next_day"),
-        F.min("day").over(whole).alias("first_day"),
-        F.max(F.when(F.col("active") == 1, F.col("day"))).over(whole).alias("last_day"),
-        *[F.sum(f"d{w}").over(running).alias(f"t{w}") for w in windows],
+    longest = max(windows)
+    totals = [f"t{w}" for w in windows]
+    batch = daily_amounts(batch.select("entity", "day", F.col("n").alias("amount")))
+    none = [F.lit(None).cast("long").alias(t) for t in totals]
+    both = state.select("entity", "day", "n", *totals, F.lit(False).alias("fresh")).unionByName(
+        batch.select("entity", "day", "n", *none, F.lit(True).alias("fresh"))
     )
-    until = F.least(F.coalesce(F.date_sub("next_day", 1), F.col("last_day")), F.col("last_day"))
-    return (
-        on.withColumn("to_day", until)
-        .where(F.col("from_day") <= F.col("to_day"))
-        .select(
-            "entity",
-            "from_day",
-            "to_day",
-            "first_day",
-            "last_day",
-            *[f"t{w}" for w in windows],
-            F.lit(version).alias("version"),
-        )
+    near = both.join(spans(state, batch, longest), "entity").where(
+        F.col("day").between(F.date_sub("start", longest), F.col("end"))
     )
 
-
-def every_day(runs: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """(entity, day, t<w>, avg<w>..., version): the runs unrolled to one row per day."""
-    days = runs.withColumn("day", F.explode(F.sequence("from_day", "to_day")))
-    return days.select(
-        "entity",
-        "day",
-        *[F.col(f"t{w}") for w in windows],
-        *[(F.col(f"t{w}") / F.lit(float(w))).alias(f"avg{w}") for w in windows],
-        "version",
+    def change(day: Column, gain: dict[int, Column] | None = None, own: Column | None = None, touch: Column | None = None) -> Column:
+        zero = F.lit(0).cast("long")
+        gains = [(gain or {}).get(w, zero).alias(f"d{w}") for w in windows]
+        return F.struct(day.alias("day"), *gains, (zero if own is None else own).alias("n"), (F.lit(0) if touch is None else touch).alias("touch"))
+
+    n, fresh = F.col("n"), F.col("fresh")
+    changes = [
+        # What arrives, what of it expires, and yesterday's totals.
+        F.when(F.col("day") >= F.col("start"), change(F.col("day"), dict.fromkeys(windows, n), n, fresh.cast("int"))),
+        *[change(F.date_add("day", w), {w: -n}) for w in windows],
+        F.when(
+            ~fresh & (F.col("day") == F.date_sub("start", 1)), change(F.col("start"), {w: F.col(f"t{w}") for w in windows})
+        ),
+        # Where a changed amount stops to matter, and where days begin that the state did or did not cover.
+        F.when(fresh, change(F.date_add("day", longest), touch=F.lit(-1))),
+        *[F.when(fresh & d.isNotNull(), change(d)) for d in (F.col("start"), F.col("known_first"), F.date_add("known_last", 1))],
+    ]
+    bounds = ["start", "end", "known_first", "known_last"]
+    on = near.select("entity", *bounds, F.explode(F.array_compact(F.array(*changes))).alias("c")).where(
+        F.col("c.day").between(F.col("start"), F.col("end"))
     )
+    summed = on.groupBy("entity", F.col("c.day").alias("day")).agg(
+        *[F.sum(f"c.d{w}").alias(f"d{w}") for w in windows],
+        F.sum("c.n").alias("n"), F.sum("c.touch").alias("touch"), *[F.first(b).alias(b) for b in bounds],
+    )
+    through = Window.partitionBy("entity").orderBy("day")
+    running = through.rowsBetween(Window.unboundedPreceding, 0)
+    runs = summed.select(
+        "entity", "day", "n", "known_first", "known_last",
+        F.coalesce(F.date_sub(F.lead("day").over(through), 1), F.col("end")).alias("until"),
+        *[F.sum(f"d{w}").over(running).alias(f"t{w}") for w in windows],
+        F.sum("touch").over(running).alias("touched"),
+    )
+    outside = (F.col("day") < F.col("known_first")) | (F.col("day") > F.col("known_last"))
+    affected = runs.where((F.col("touched") > 0) | F.coalesce(outside, F.lit(True)))
+    days = affected.withColumn("at", F.explode(F.sequence("day", "until")))
+    own = F.when(F.col("at") == F.col("day"), F.col("n")).otherwise(0).cast("long").alias("n")
+    return days.select("entity", F.col("at").alias("day"), own, *totals, F.lit(version).alias("version"))
 
 
-def advance(
-    yesterday: DataFrame, daily: DataFrame, day: str, windows: Sequence[int] = (7, 30), version: int = 0
-) -> DataFrame:
-    """The state (entity, day, t<w>..., version) of ``day`` from the state of the day before.
+def advance(state: DataFrame, arrivals: DataFrame, day: str, version: int, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """The rows of ``day``: for each entity with arrivals (entity, day, n) that day or with a total still above zero.
 
-    ``daily`` holds the amounts of at least ``day`` and of the days that expire; the scan reads only those dates.
+    An entity whose longest total has fallen to zero gets no further rows; when it returns, the days between are
+    filled.
     """
     today = F.lit(day).cast("date")
-    arrivals = daily.where(F.col("day") == today).select("entity", F.col("n").alias("arrived"))
-    out = yesterday.select("entity", *[f"t{w}" for w in windows]).join(arrivals, "entity", "full")
-    for w in windows:
-        gone = daily.where(F.col("day") == F.date_sub(today, w)).select("entity", F.col("n").alias(f"gone{w}"))
-        out = out.join(gone, "entity", "left")
-    total = lambda w: F.coalesce(f"t{w}", F.lit(0)) + F.coalesce("arrived", F.lit(0)) - F.coalesce(f"gone{w}", F.lit(0))
-    return out.select(
-        "entity", today.alias("day"), *[total(w).alias(f"t{w}") for w in windows], F.lit(version).alias("version")
-    )
+    last = state.groupBy("entity").agg(F.max("day").alias("last"), F.max_by(f"t{max(windows)}", "day").alias("t"))
+    live = last.where((F.col("t") != 0) & (F.col("last") < today))
+    idle = live.select("entity", today.alias("day"), F.lit(0).cast("long").alias("n"))
+    return step(state, arrivals.where(F.col("day") == today).select("entity", "day", "n").unionByName(idle), version, windows)
+
 
+def correct(state: DataFrame, late: DataFrame, version: int, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """The rows that late amounts (entity, day, n; n < 0 withdraws) change or add, of any day."""
+    return step(state, late, version, windows)
 
-def correct(state: DataFrame, late: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """Daily state (entity, day, t<w>..., version) after late amounts (entity, day, n; n < 0 withdraws).
 
-    Only the affected dates change, and their version rises by one; a date before an entity's first known day
-    is added, and a late amount never extends the state past its newest day.
+def maintain(arrivals: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """All versions of the state of ``arrivals`` (entity, day, n, version), each made from the one before.
+
+    The versions are fetch periods, a number that grows with time and not with the data; every one is a step over
+    the entities and dates it affects, written once to the shared folder.
     """
-    touched = (
-        daily_amounts(late.select("entity", "day", F.col("n").alias("amount")))
-        .withColumn("at", F.explode(F.expr(f"sequence(0, {max(windows) - 1})")))
-        .groupBy("entity", F.date_add("day", F.col("at")).alias("day"))
-        .agg(*[F.sum(F.when(F.col("at") < w, F.col("n")).otherwise(0)).alias(f"c{w}") for w in windows])
-    )
-    newest = state.groupBy("entity").agg(F.max("day").alias("newest"))
-    touched = touched.join(newest, "entity", "left").where(F.col("newest").isNull() | (F.col("day") <= F.col("newest")))
-    changed = F.when(F.col(f"c{windows[0]}").isNotNull(), 1).otherwise(0)
-    return state.join(touched.drop("newest"), ["entity", "day"], "full").select(
-        "entity",
-        "day",
-        *[(F.coalesce(f"t{w}", F.lit(0)) + F.coalesce(f"c{w}", F.lit(0))).alias(f"t{w}") for w in windows],
-        (F.coalesce("version", F.lit(0)) + changed).alias("version"),
-    )
+    arrivals = durable(arrivals)
+    parts: list[DataFrame] = []
+    for v in sorted(r[0] for r in arrivals.select("version").distinct().collect()):
+        state = current(reduce(DataFrame.unionByName, parts), windows) if parts else empty_state(arrivals.sparkSession, windows)
+        parts.append(durable(step(state, arrivals.where(F.col("version") == v), v, windows)))
+    return reduce(DataFrame.unionByName, parts) if parts else empty_state(arrivals.sparkSession, windows)
+
+
+def with_averages(state: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """(entity, day, t<w>..., avg<w>...) up to each entity's last day with activity."""
+    last = F.max(F.when(F.col("n") != 0, F.col("day"))).over(Window.partitionBy("entity"))
+    days = state.withColumn("last", last).where(F.col("day") <= F.col("last"))
+    averages = [(F.col(f"t{w}") / F.lit(float(w))).alias(f"avg{w}") for w in windows]
+    return days.select("entity", "day", *[f"t{w}" for w in windows], *averages)
 
 
-def quiet_and_peak_days(runs: DataFrame) -> DataFrame:
-    """(lastfm_user, day, kind): quiet days and peaks of full 30-day history, found per run before unrolling."""
+def quiet_and_peak_days(state: DataFrame) -> DataFrame:
+    """(lastfm_user, day, kind): quiet days and peaks of full 30-day history, from ``current``."""
+    whole = Window.partitionBy("entity")
     quiet = (F.col("t7") == 0) & (F.col("t30") > 0)
     peak = (F.col("t7") >= 10) & (F.col("t7") * 30 > F.col("t30") * 14)
-    kind = F.when(quiet, F.lit("quiet")).when(peak, F.lit("peak"))
-    full = runs.withColumn("kind", kind).withColumn(
-        "from_day", F.greatest("from_day", F.date_add("first_day", 29))
-    )
-    return (
-        full.where(F.col("kind").isNotNull() & (F.col("from_day") <= F.col("to_day")))
-        .withColumn("at", F.explode(F.sequence("from_day", "to_day")))
-        .select(
-            F.col("entity").alias("lastfm_user"), F.date_format("at", "yyyy-MM-dd").alias("day"), F.col("kind")
-        )
-    )
+    marked = state.select(
+        F.col("entity").alias("lastfm_user"), "day",
+        F.when(quiet, F.lit("quiet")).when(peak, F.lit("peak")).alias("kind"),
+        F.min("day").over(whole).alias("first"), F.max(F.when(F.col("n") != 0, F.col("day"))).over(whole).alias("last"),
+    )
+    inside = F.col("day").between(F.date_add("first", 29), F.col("last"))
+    return marked.where(F.col("kind").isNotNull() & inside).select("lastfm_user", F.date_format("day", "yyyy-MM-dd").alias("day"), "kind")

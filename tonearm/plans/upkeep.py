@@ -61,9 +61,9 @@ def _orphan_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    plays = table(spark, sf, "scrobbles", "lastfm_user", "played_at", "artist", "title")
-    return rolling.state_runs(rolling.distinct_plays(plays))
+def _state(spark: SparkSession, sf: str) -> DataFrame:
+    plays = table(spark, sf, "scrobbles", "lastfm_user", "played_at", "artist", "title", "fetched_at")
+    return rolling.current(rolling.maintain(rolling.distinct_plays(plays)))
 
 
 @REGISTRY.query("p4_found", f"SELECT table_name, row_key, period FROM ({_ORPHANS_SQL}) AS o")
@@ -89,7 +89,7 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
            AND ((t7 = 0 AND t30 > 0) OR (t7 >= 10 AND t7 * 30 > t30 * 14))""",
 )
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling.quiet_and_peak_days(_runs(spark, sf))
+    return rolling.quiet_and_peak_days(_state(spark, sf))
 
 
 @REGISTRY.query(
@@ -99,7 +99,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
                 round(t7 / 7.0, 6) AS avg7, round(t30 / 30.0, 6) AS avg30 FROM totals""",
 )
 def p6_rolling_days(spark: SparkSession, sf: str) -> DataFrame:
-    days = rolling.every_day(_runs(spark, sf))
+    days = rolling.with_averages(_state(spark, sf))
     return days.select(
         F.col("entity").alias("lastfm_user"),
         F.date_format("day", "yyyy-MM-dd").alias("day"),

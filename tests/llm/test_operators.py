@@ -214,6 +214,8 @@ def test_leaks(spark):
         ("「もう一度。大きく」と言った。（遠い。響く。）暗い……。終わり", ["「もう一度。大きく」と言った。", "（遠い。響く。）", "暗い……。", "終わり"]),
         ("Am 25. Abend z. B. kühl, vgl. S. 40. Warum?", ["Am 25. Abend z. B. kühl, vgl. S. 40.", "Warum?"]),
         ("ทำนองนี้ดังขึ้น เราชอบเพลง", ["ทำนองนี้ดังขึ้น", "เราชอบเพลง"]),
+        ("ผมชอบเพลง และเขาชอบกลอง แต่ไม่มีเสียง เพื่อนกลับมา", ["ผมชอบเพลง และเขาชอบกลอง แต่ไม่มีเสียง", "เพื่อนกลับมา"]),
+        ("ราคา 500 บาท ผมใช้ Python มาก เสียงดัง ๆ ในปี1995 The Band", ["ราคา 500 บาท", "ผมใช้ Python มาก", "เสียงดัง ๆ ในปี1995", "The Band"]),
         ("", []), (" \n\t", []), ("(open", ["(open"]),
     ],
 )
@@ -221,6 +223,21 @@ def test_sentences(text, units):
     assert [text[s:e] for s, e, _ in sentences.unit_offsets(text)] == units
 
 
+@pytest.mark.parametrize("unit", ["A.B", "a! ", "A a! ", "«A. ", "1 ก ", "ก ab ", "9. A ", '"a." '])
+def test_sentence_time_is_linear(unit):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for _ in sentences.unit_offsets(unit * (n // len(unit))):
+            pass
+        return time.process_time() - began
+
+    took(10_000)
+    # Eight times the text would take 64 times as long if each stop looked back to the start.
+    assert took(400_000) < 24 * max(took(50_000), 0.02)
+
+
 def test_sentence_units_lose_nothing(spark):
     text = "A b. C (d. E) f! - x\n * y\n" * 4000
     df = spark.createDataFrame([(1, text, "z"), (2, None, "z"), (3, "", "z"), (4, "x", "z")], "doc_id long, text string, end_pos string")

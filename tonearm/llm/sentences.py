@@ -4,8 +4,14 @@ The stack holds the open quotations and brackets; a terminator counts only on an
 inside a quotation or bracket that closes onto an empty stack. A second, small stack holds the indents of list
 entries, which gives each unit its list level. Before a full stop a trie of abbreviations, read backwards from the
 stop, decides whether the stop can end a unit. Scripts bring their own terminators: ideographic and Devanagari
-stops end a unit whatever follows, Latin ones only before something that can start one, and Thai, which writes no
-stop, ends a unit at a blank after Thai letters.
+stops end a unit whatever follows, Latin ones only before something that can start one. Thai writes no stop, and a
+blank there parts sentences as well as phrases: it ends a unit after Thai letters unless the next phrase opens with a
+word that carries a sentence on, the last one closes with a word that announces more (``THAI_CARRIES``,
+``THAI_ANNOUNCES``), a repetition or omission mark stands at it, or a number or foreign words stand alone between
+blanks.
+
+The time is linear in the text: every stop looks back over one word of at most ``LONGEST`` letters, what lies behind it
+is carried along in counters, and the last place of each closing mark is known before the line is read.
 
 Defined cases: NULL, empty and blank texts give no units; a line break always ends a unit; a mark that opens
 without closing on its line is an ordinary character; units cover every character that is not a blank between
@@ -47,9 +53,13 @@ EVENT = re.compile(
     "[" + re.escape(TERMINATORS + "".join(PAIRS) + "".join(CLOSERS)) + '"' + "]|(?<=[฀-๿\\d])[  　]+(?=\\S)"
 )
 MARKER = re.compile(r"\s*(?:\d{1,3}[.)]|[A-Za-z][.)]|[ivxlIVXL]{1,5}[.)]|[-*•‣–—])\s+")
-THAI_END = re.compile("[฀-๿][\\d.,]*\\Z")
 INVISIBLE = "­​‌‍⁠﻿"
-WORD = re.compile(r"[^\s(\[{“„«\"「『（‘—–,;:/]+\Z")
+WORD = re.compile(r"[^\s(\[{“„«\"「『（‘—–,;:/]*\Z")
+#: Of a longer word only the last letters are read; no abbreviation or ordinal is that long.
+LONGEST = 24
+# Thai words that carry a sentence on after a blank, and words before a blank that announce more.
+THAI_CARRIES = re.compile("และ|หรือ|แต่(?!ง)|เพราะ|เนื่องจาก|ซึ่ง|โดย|เพื่อ(?!น)|กับ|จึง|ก็|ว่า(?!ง)|รวมถึง|ตลอดจน|ๆ|ฯ")
+THAI_ANNOUNCES = ("เช่น", "ได้แก่", "คือ", "ว่า", "และ", "หรือ", "นาย", "นางสาว", "ดร.", "ฯ", "ๆ")
 
 
 def trie(*classes: tuple[str, list[str]]) -> dict:
@@ -76,6 +86,27 @@ def abbreviation(word: str) -> str | None:
     return node.get("")
 
 
+def word_start(line: str, start: int, end: int) -> int:
+    """Where the word that ends at ``end`` begins, looking back no further than ``start`` and ``LONGEST`` letters."""
+    return WORD.search(line, max(start, end - LONGEST), end).start()
+
+
+def thai_ends(line: str, start: int, at: int, after: int, total: int) -> bool:
+    """Whether the blank from ``at`` to ``after`` ends a unit that began at ``start``: see the module's text."""
+    i = at
+    while i > start and (line[i - 1].isdigit() or line[i - 1] in ".,"):
+        i -= 1
+    if i == start or not "฀" <= line[i - 1] <= "๿" or line.endswith(THAI_ANNOUNCES, start, at) or THAI_CARRIES.match(line, after):
+        return False
+    if i < at or "฀" <= line[after] <= "๿":
+        return True
+    # Numbers or foreign words: alone between blanks they belong to the sentence around them.
+    end = after
+    while end < total and not "฀" <= line[end] <= "๿":
+        end += 1
+    return not (end < total and line[end - 1].isspace())
+
+
 def starts(line: str, at: int) -> bool:
     """Whether a unit can start at ``at``: capital, digit, letter without case, opening mark, or a word like dB."""
     c = line[at]
@@ -89,15 +120,15 @@ def starts(line: str, at: int) -> bool:
 
 def stop_ends(line: str, start: int, dot: int, after: int) -> bool:
     """Whether the full stop at ``dot`` can end a unit; ``after`` is where the next word begins."""
-    found = WORD.search(line, start, dot)
-    if not found:
+    begin = word_start(line, start, dot)
+    if begin == dot:
         return True
-    word, first = found.group(), line[after]
+    word, first = line[begin:dot], line[after]
     if word.isdigit():
         if first.isdigit() or not first.isupper():
             return not first.islower()
-        lead = WORD.search(line, start, found.start() - 1) if found.start() > start else None
-        return bool(found.start() > start) and not (lead and lead.group().lower() in ORDINAL_LEAD)
+        lead = line[word_start(line, start, begin - 1) : begin - 1] if begin > start else ""
+        return begin > start and lead.lower() not in ORDINAL_LEAD
     kind = abbreviation(word)
     if kind == "binding":
         return False
@@ -107,20 +138,20 @@ def stop_ends(line: str, start: int, dot: int, after: int) -> bool:
     if len(letters[-1]) == 1 and letters[-1].isalpha():
         if len(letters) > 1 and "." in word and "-" not in word:
             return kind == "final" or letters[-1].isupper()
-        before = line[max(start, found.start() - 4) : found.start()].rstrip()
+        before = line[max(start, begin - 4) : begin].rstrip()
         return kind == "final" and before[-1:] in ("." if word in "дп" else "0123456789") and before != ""
     return True
 
 
-def lower_case_ends(line: str, start: int, mark: int) -> bool:
+def lower_case_ends(line: str, start: int, mark: int, blanks: int, capital: bool) -> bool:
     """Whether a mark before a small letter ends a unit: text written without capitals still has sentences.
 
-    After a full stop it does if the word is written out; after other marks only if the unit holds no capital.
+    After a full stop it does if the word is written out; after other marks only if the unit holds no ``capital`` and
+    more than one of ``blanks``.
     """
     if line[mark] != ".":
-        return line[start:mark].count(" ") > 1 and not any(x.isupper() for x in line[start:mark])
-    found = WORD.search(line, start, mark)
-    word = found.group() if found else ""
+        return blanks > 1 and not capital
+    word = line[word_start(line, start, mark) : mark]
     return len(word) > 1 and word.isalpha() and word.islower() and abbreviation(word) is None
 
 
@@ -134,13 +165,16 @@ def line_ends(line: str) -> list[int]:
     marker = MARKER.match(line)
     skip = marker.end() if marker else 0
     thai = any("฀" <= c <= "๿" for c in line)
+    last = {closer: line.rfind(closer, 0, total) for closer in {*CLOSERS, '"'} if closer in line}
+    seen, blanks, capital = start, 0, False
 
     def cut(end: int) -> None:
-        nonlocal start
+        nonlocal start, seen, blanks, capital
         ends.append(end)
         start = end
         while start < total and line[start].isspace():
             start += 1
+        seen, blanks, capital = start, 0, False
 
     done = 0
     for event in EVENT.finditer(line, skip, total):
@@ -148,7 +182,7 @@ def line_ends(line: str) -> list[int]:
         if at < done:
             continue
         if c[0].isspace():
-            if thai and not stack and at > start and THAI_END.search(line, start, at):
+            if thai and not stack and at > start and thai_ends(line, start, at, event.end(), total):
                 cut(at)
             continue
         closed = False
@@ -157,13 +191,15 @@ def line_ends(line: str) -> list[int]:
             unit_start = opened_at.pop() == start
             if stack:
                 continue
-            inner = line[at - 1] if not line[at - 1].isspace() else line[:at].rstrip()[-1:]
-            if inner not in TERMINATORS:
+            inner = at - 1
+            while inner > 0 and line[inner].isspace():
+                inner -= 1
+            if line[inner] not in TERMINATORS:
                 continue
             closed = True
         elif c in PAIRS or c == '"':
             closer = PAIRS.get(c, '"')
-            if line.find(closer, at + 1, total) >= 0:
+            if last.get(closer, -1) > at:
                 stack.append(closer)
                 opened_at.append(at)
             continue
@@ -194,7 +230,9 @@ def line_ends(line: str) -> list[int]:
             continue
         ellipsis = "…" in line[at:end] or line[at:end] == "..."
         if gap and not starts(line, after):
-            if not ellipsis and lower_case_ends(line, start, at):
+            passed = line[seen:at]
+            seen, blanks, capital = at, blanks + passed.count(" "), capital or any(x.isupper() for x in passed)
+            if not ellipsis and lower_case_ends(line, start, at, blanks, capital):
                 cut(end)
         elif gap:
             if c != "." or end > at + 1 or stop_ends(line, start, at, after):
@@ -204,8 +242,7 @@ def line_ends(line: str) -> list[int]:
                 cut(end)
         elif nxt.isalpha() and not nxt.islower() and (nxt.isupper() or c in "!?؟"):
             # No blank was written; the word before must be no abbreviation or one that can end a sentence.
-            word = WORD.search(line, start, at)
-            tail = word.group() if word else ""
+            tail = line[word_start(line, start, at) : at]
             long = len(tail) > 1 and tail[-1].isalpha() and not tail[-1].isupper() and "." not in tail
             kind = abbreviation(tail)
             if (kind is None and long) or (kind == "final" and stop_ends(line, start, at, after)):

@@ -76,6 +76,25 @@ def test_well_attested_and_short_names_stay_apart(spark):
     assert linked_groups(spark, given) == {frozenset(g) for g in (act, star, *alone)}
 
 
+def test_short_acts_and_equally_rare_names_stay_apart(spark):
+    acts = ["Abba", "Air", "ABC", "U2", "Ye", "Can", "Nas", "Blur", "Blue", "Muse", "Mute", "Low"]
+    given = {n: 5 + 7 * i for i, n in enumerate(acts)} | {"Loranta Mivu": 1, "Loranda Mivu": 1}
+    assert linked_groups(spark, given) == {frozenset([n]) for n in given}
+
+
+def test_moved_words_meet_with_typos_in_them(spark):
+    together = [{"Dalor Mesiz": 40, "Cesia Dalor": 2, "Mesiz Dalor": 3}, {"Karimo Stuveda Lanoshi": 30, "Lanoshi Karimo Stuvedda": 4, "Ztuveda Lanoshi Karimo": 1}]
+    assert linked_groups(spark, {n: c for g in together for n, c in g.items()}) == {frozenset(g) for g in together}
+
+
+def test_with_makes_a_credit_only_after_a_known_name(spark):
+    given = {"Walking With Ghosts": 20, "Walking Wiht Ghosts": 2, "Harold Mizaju": 9, "Harold Mizaju with Tosado Kelu": 3, "Harold Mizaju (with Someone)": 2}
+    df = spark.createDataFrame([*given.items()], "name string, n long")
+    assert linked_groups(spark, given) == {frozenset(["Walking With Ghosts", "Walking Wiht Ghosts"]), frozenset(["Harold Mizaju"])}
+    entity = {r.name: r.entity for r in names.link_names(df, credits=True).collect()}
+    assert entity["Harold Mizaju with Tosado Kelu"] == entity["Harold Mizaju"] and "Harold Mizaju (with Someone)" not in entity
+
+
 def test_chains_of_spellings_end_at_one_root(spark):
     word = "karimosdralohanebuti"
     given = {"x" * i + word[i:]: 10 + i for i in range(14)}

@@ -3,17 +3,21 @@
 A name is read into its descriptor (orchestra, jazz band, duo, ...) and its core words: letters are brought to one
 form, articles, titles of disc jockeys and kinds of "and" are dropped, short given names and abbreviated
 descriptors are spelled out, "Last, First" is turned round. Names with equal descriptor and core words form a
-class. Classes are compared by the trie join: the core words, joined in three orders (as written, sorted by their
-beginnings, sorted by their ends, so that moved words and joined words meet), are cut into segments; names sharing
+class. Classes are compared by the trie join: the core words, joined as written, are cut into segments; names sharing
 a segment at a compatible place meet in one shard, whose names form a trie; a Levenshtein automaton with
-transpositions walks the trie and lists all neighbours within the bound. Two edits spoil at most three of four
+transpositions walks the trie and lists all neighbours within the bound. Every order of a name's words walks the tries
+(up to ``ORDERED`` words; of longer names the rotations and two sorted orders), so moved words, misspelt or not, and
+joined words meet. Two edits spoil at most three of four
 segments, unless both swap letters across segment borders, and then the names have the same letters, which is one
 more key to meet on: no neighbour is missed. A segment that many names share is split over several tries. Initials
 are matched against the words they abbreviate by the same join, for any number of words and initials; a name of
 nothing but single letters abbreviates none.
 
 A class joins the nearest class that is more frequent, within a bound that grows with its length; two classes that are
-both well attested, by their share or by plays and spellings alone, stay apart however close they are. A credit that joins a guest to an artist is left out.
+both well attested, by their share or by plays and spellings alone, stay apart however close they are, and so do two
+different spellings with the same number of plays, of which neither can be told to be the other's slip. A credit that
+joins a guest to an artist is left out: "feat." and its kin always make one, "with" only in a bracket or after a name
+that the table holds by itself.
 
 Defined cases: NULL, empty and blank names are no names; letter case counts as a difference between names and is
 ignored in comparing them; ties between equally near classes go to the more frequent one, then to the smaller key;
@@ -27,7 +31,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import combinations, product
+from itertools import combinations, permutations, product
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,6 +42,8 @@ from tonearm.llm.lookalike import fold
 from tonearm.session import durable
 
 BOUND = 2
+#: Of names with at most so many words every order is tried.
+ORDERED = 4
 SEGMENTS = BOUND + 2
 #: (length difference, segment, shift): where a name's neighbour that is no longer than it can keep a segment.
 PLACES = [
@@ -49,6 +55,8 @@ PLACES = [
 ]
 #: A trie of one segment holds about this many names; a more frequent segment gets several tries.
 TRIE_NAMES = 2000
+#: One task's table of strings to index and to look up has about this many rows.
+SHARD_ROWS = 500_000
 #: A class with at least this many spellings and this share of the other's frequency is an act of its own.
 OWN_SPELLINGS, OWN_SHARE = 3, 0.3
 #: So many plays keep a class with that many spellings, or with that share, apart from any other, however frequent.
@@ -77,7 +85,8 @@ HEADS = {"orchestra", "philharmonic", "ensemble", "choir", "trio", "quartet", "q
 QUALIFIERS = {"symphony", "chamber", "string", "big", "jazz", "brass"}
 ARTICLES = {"the", "les", "der", "die", "das", "los", "las", "el", "la", "le", "il", "i"}
 ANDS = {"&", "+", "and", "et", "und", "y", "n'", "n", "'n'", "’n’", "n’"}
-GUEST = re.compile(r"\S\s*[(\[]?\s*\b(?:feat|ft|featuring|with)\b\.?\s+\S", re.IGNORECASE)
+GUEST = re.compile(r"\S\s*[(\[]?\s*\b(?:feat|ft|featuring)\b\.?\s+\S|\S\s*[(\[]\s*with\s+\S", re.IGNORECASE)
+WITH = re.compile(r"\S\s+with\s+\S", re.IGNORECASE)
 ACCENTS = re.compile("[\u0300-\u036f]")
 WORD = re.compile(r"[^\s\-‐–,;()\[\]/]+")
 
@@ -194,14 +203,36 @@ def spelled(words: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
     return product(*[given_names().get(w, (w,)) if i in (0, len(words) - 1) else (w,) for i, w in enumerate(words)])
 
 
-def forms(reading: Reading) -> list[tuple[str, str]]:
-    """(space, string) pairs under which a reading takes part in the trie join; strings meet within their space."""
-    out = set()
+def orders(words: tuple[str, ...]) -> set[str]:
+    """The words joined in other orders than the one given."""
+    if len(words) <= ORDERED:
+        turned = permutations(words)
+    else:
+        turned = (words[i:] + words[:i] for i in range(len(words)))
+    return {"".join(t) for t in turned} - {"".join(words)}
+
+
+def forms(reading: Reading) -> list[tuple[str, str, bool]]:
+    """(space, string, turned) under which a reading takes part in the trie join; strings meet within their space.
+
+    Turned strings only walk the tries, they are not in them; two words are, both ways round.
+    """
+    out: dict[str, bool] = {}
     for words in spelled(reading.words):
-        out |= {"".join(words), "".join(sorted(words)), "".join(sorted(words, key=lambda w: w[::-1]))}
+        held = {"".join(words)} | (orders(words) if len(words) == 2 else set())
+        if len(words) > ORDERED:
+            held |= {"".join(sorted(words)), "".join(sorted(words, key=lambda w: w[::-1]))}
+        out |= dict.fromkeys(orders(words) - out.keys(), True) | dict.fromkeys(held, False)
     rest = "".join(w for w in reading.words if len(w) > 1)
-    initial = [(initial_space(reading.kind, reading.letters), rest)] if reading.initials and rest else []
-    return [(reading.kind, s) for s in sorted(out)] + initial
+    initial = [(initial_space(reading.kind, reading.letters), rest, False)] if reading.initials and rest else []
+    return [(reading.kind, s, turned) for s, turned in sorted(out.items())] + initial
+
+
+def lead_key(name: str) -> str | None:
+    """The key of what stands before a bare "with"."""
+    found = WITH.search(name)
+    lead = read(name[: found.start() + 1]) if found else None
+    return lead.key if lead else None
 
 
 def initial_space(kind: str, letters: str) -> str:
@@ -287,7 +318,7 @@ class Trie:
                     stack.append((child, after, depth + 1))
 
 
-PAIRS = pa.list_(pa.struct([("space", pa.string()), ("string", pa.string())]))
+PAIRS = pa.list_(pa.struct([("space", pa.string()), ("string", pa.string()), ("turned", pa.bool_())]))
 
 
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +332,10 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([r.key for _, _, r in out], pa.string()),
                 pa.array([r.letters for _, _, r in out], pa.string()),
                 pa.array([{"kind": r.kind, "words": list(r.words)} for _, _, r in out], pa.struct([("kind", pa.string()), ("words", pa.list_(pa.string()))])),
-                pa.array([[{"space": k, "string": s} for k, s in forms(r)] for _, _, r in out], PAIRS),
+                pa.array([[{"space": k, "string": s, "turned": t} for k, s, t in forms(r)] for _, _, r in out], PAIRS),
+                pa.array([lead_key(n) for n, _, _ in out], pa.string()),
             ],
-            names=["name", "n", "key", "letters", "reading", "strings"],
+            names=["name", "n", "key", "letters", "reading", "strings", "lead"],
         )
 
 
@@ -311,7 +343,7 @@ def _abbreviations(shapes: set[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             readings = batch.column("reading").to_pylist()
-            strings = [[{"space": k, "string": s} for k, s in abbreviated(r["kind"], tuple(r["words"]), shapes)] for r in readings]
+            strings = [[{"space": k, "string": s, "turned": False} for k, s in abbreviated(r["kind"], tuple(r["words"]), shapes)] for r in readings]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(strings, PAIRS)], names=["id", "strings"])
 
     return run
@@ -319,7 +351,7 @@ def _abbreviations(shapes: set[tuple[int, int]]):
 
 def edits(length: int) -> int:
     """How many edits may lie between names of this length: short names are near to most others."""
-    return 0 if length < 4 else 1 if length < 8 else BOUND
+    return 0 if length < 5 else 1 if length < 8 else BOUND
 
 
 def _walk(shard: pa.Table, scaled: bool = False) -> pa.Table:
@@ -361,11 +393,13 @@ def trie_join(strings: DataFrame, scaled: bool = False) -> DataFrame:
     """(u, v, initial, distance), both ways, of all strings within the bound in one space.
 
     ``strings`` is (id long, space, string, initial boolean), if ``scaled`` with full boolean, which tells names
-    without single letters; the bound then depends on the length. Segments are cut and placed in the JVM; only the
+    without single letters, and turned boolean, for strings that only walk the tries; the bound then depends on the
+    length. Segments are cut and placed in the JVM; only the
     blocks reach Python.
     """
-    strings = strings if scaled else strings.withColumn("full", F.lit(False))
-    shards = 2 * int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strings = strings if scaled else strings.select("*", F.lit(False).alias("full"), F.lit(False).alias("turned"))
+    least = 2 * int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(least, strings.count() * (len(PLACES) + SEGMENTS + 2) // SHARD_ROWS)
     size = F.length("string")
     border = lambda length, i: F.floor(length * i / SEGMENTS)
     segment = lambda length, i, shift: F.substring(
@@ -378,7 +412,7 @@ def trie_join(strings: DataFrame, scaled: bool = False) -> DataFrame:
         F.when((border(size + d, i) + s >= 0) & (border(size + d, i + 1) + s <= size) & (size + d > 0), block(size + d, i, s))
         for d, i, s in PLACES
     ] + [letters]
-    rows = lambda keys, probe: strings.select(
+    rows = lambda keys, probe: (strings if probe else strings.where(~F.col("turned"))).select(
         "id", "string", "initial", "full", F.lit(probe).alias("probe"), F.explode(F.array_distinct(F.array(*keys))).alias("block")
     ).where(F.col("block").isNotNull())
     indexed, probing = rows(index, False), rows(probes, True)
@@ -400,15 +434,22 @@ def trie_join(strings: DataFrame, scaled: bool = False) -> DataFrame:
     return ways.groupBy("u", "v", "initial").agg(F.min("distance").alias("distance"))
 
 
-def link_names(names: DataFrame) -> DataFrame:
-    """(name, n, entity) of ``names`` (name, n): spellings of one artist share the entity number."""
+def link_names(names: DataFrame, credits: bool = False) -> DataFrame:
+    """(name, n, entity) of ``names`` (name, n): spellings of one artist share the entity number.
+
+    With ``credits``, a name that a bare "with" joins to a guest is listed too, under the entity of its first artist.
+    """
     usable = names.where(F.trim("name") != "").groupBy("name").agg(F.sum("n").cast("long").alias("n"))
     readings = usable.mapInArrow(
         _readings,
         "name string, n long, key string, letters string, reading struct<kind:string,words:array<string>>, "
-        "strings array<struct<space:string,string:string>>",
+        "strings array<struct<space:string,string:string,turned:boolean>>, lead string",
     )
-    readings = durable(readings.withColumn("id", F.xxhash64("key")))
+    read = durable(readings.select("*", F.xxhash64("key").alias("id"), F.when(F.col("lead").isNotNull(), F.xxhash64("lead")).alias("lead_id")).drop("lead"))
+    joined = F.col("lead_id").isNotNull()
+    alone = read.where(~joined).select(F.col("id").alias("lead_id")).distinct()
+    guests = read.where(joined).join(alone, "lead_id", "left_semi")
+    readings = read.join(guests.select("name"), "name", "left_anti")
     best = F.max_by(F.struct("reading", "strings"), F.struct("n", "name"))
     classes = durable(
         readings.groupBy("id")
@@ -422,10 +463,10 @@ def link_names(names: DataFrame) -> DataFrame:
     listed = classes.select("id", "strings", (~F.col("initials")).alias("full"))
     if shapes:
         whole = classes.where(~F.col("initials") & count.isin(sorted({n for n, _ in shapes}))).select("id", "reading")
-        short = whole.mapInArrow(_abbreviations(shapes), "id long, strings array<struct<space:string,string:string>>")
+        short = whole.mapInArrow(_abbreviations(shapes), "id long, strings array<struct<space:string,string:string,turned:boolean>>")
         listed = listed.unionByName(short.withColumn("full", F.lit(True)))
     strings = listed.select("id", "full", F.explode("strings").alias("s")).select(
-        "id", "full", "s.space", "s.string", F.endswith("s.space", F.lit("|initial")).alias("initial")
+        "id", "full", "s.space", "s.string", "s.turned", F.endswith("s.space", F.lit("|initial")).alias("initial")
     )
     edges = trie_join(strings, scaled=True)
     side = lambda c: classes.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("weight", "spellings", "initials", "letters")])
@@ -437,7 +478,8 @@ def link_names(names: DataFrame) -> DataFrame:
     attested = (F.col("distance") > 0) & (F.col("u_weight") >= OWN_PLAYS) & (spelt | share)
     own = (spelt & share) | attested
     # A single letter is never a typo of another; without it, or joined to a word, the letters have to be the same.
-    alike = (F.col("u_letters") == F.col("v_letters")) & heavier & ~own
+    clear = (F.col("distance") == 0) | (F.col("v_weight") > F.col("u_weight"))
+    alike = (F.col("u_letters") == F.col("v_letters")) & heavier & clear & ~own
     joined = F.expr("u_initials AND NOT v_initials AND distance = 0")
     up = edges.where(~F.col("initial") & (alike | joined))
     parent = up.groupBy("u").agg(F.min(F.struct("distance", (-F.col("v_weight")).alias("w"), "v")).alias("best"))
@@ -466,7 +508,11 @@ def link_names(names: DataFrame) -> DataFrame:
         "k = 1 AND (next IS NULL OR next_distance > distance OR root_weight >= 5 * next)"
     ).select(F.col("u").alias("id"), F.col("root").alias("full"))
     final = roots.join(clear.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("full", "root").alias("entity"))
-    return readings.join(final, "id").select("name", "n", "entity")
+    linked = readings.join(final, "id").select("name", "n", "entity")
+    if not credits:
+        return linked
+    led = guests.select("name", "n", F.col("lead_id").alias("id")).join(final, "id")
+    return linked.unionByName(led.select("name", "n", "entity"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:

@@ -159,6 +159,41 @@ def test_titles_are_read():
     assert linkage.read_title("X ²")[:2] != linkage.read_title("X 2")[:2] and linkage.read_title("19")[0] == "19"
 
 
+def test_file_types_and_kinds_of_and_do_not_matter():
+    assert len({linkage.read_title(t)[:3] for t in ["Echo & the Tower", "Echo and the Tower", "Echo and the Tower.mp3", "07_Echo_and_the_Tower.flac", "Echo &the Tower (mix-down)"]}) == 1
+
+
+def test_near_titles_equal_brute_force(spark):
+    random.seed(8)
+    words = sorted({"".join(random.choice("abcd") for _ in range(random.randint(8, 12))) for _ in range(60)})
+    slip = lambda w: random.choice([w[1:], "a" + w, w[:3] + w[4] + w[3] + w[5:], w[:2] + w[3] + w[2] + w[4:], w[:-1] + "x"])
+    words = sorted({*words, *(slip(slip(w)) for w in words)})
+    df = spark.createDataFrame([(1, w) for w in words], "entity long, base string")
+    got = {(r.left_base, r.right_base): r.distance for r in linkage.near_titles(df, df).collect()}
+    for a, b in itertools.product(words, words):
+        d = osa(a, b)
+        if d <= (2 if min(len(a), len(b)) >= 8 else 1):
+            assert got[a, b] <= d, (a, b)
+        # A letter moved further than to its neighbour's place is one slip as well.
+        elif (a, b) in got:
+            assert d <= 4
+
+
+def test_the_model_and_nothing_else_decides():
+    import numpy as np
+
+    i = {v: k for k, v in enumerate(linkage.VOTES)}
+    row = lambda **votes: [votes.get(v, 1 if v != "identifier" else 0) + 1 for v in linkage.VOTES]
+    votes = np.array([row(), row(title=0), row(artist=0, album=0), row(identifier=1), row(numbers=-1), row(take=-1), row(title=-1), row(numbers=-1, identifier=-1), row(take=-1, artist=0), row(numbers=-1, take=-1)])
+    patterns = (votes * 3 ** np.arange(len(i))).sum(1)
+    for scale in (1, 100, 10**6):
+        counts = np.array([900, 60, 90, 30, 40, 60, 5, 10, 12, 2]) * scale
+        p = linkage.LabelModel().fit(patterns, counts.astype(float)).posterior(votes)
+        # Without the model every candidate would be returned.
+        assert (p[:4] > 0.9).all() and (p[4:] < 0.5).all()
+    assert len(linkage.LabelModel().fit(np.zeros(0, int), np.zeros(0)).tables) == len(linkage.CLASSES)
+
+
 def test_recordings_are_linked(spark):
     tracks = [(f"m{i}", "Some Artist", t, "Alb", [f"id{i}"]) for i, t in enumerate(["Golden Letters", "Golden Letters (Live)", "Stone, Pt. 1", "Stone, Pt. 2"])]
     tracks += [("n1", "", "Golden Letters", "", []), ("n2", "Other Person", "Golden Letters", None, None)]

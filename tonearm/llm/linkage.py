@@ -1,14 +1,21 @@
 """Plays and library tracks of the same recording, linked without a common key.
 
-Candidates share the artist's entity (the trie join of names) and have titles within two edits of each other, found
-on segments of the title, so neither an artist with many tracks nor a popular title is crossed with itself. Titles
-are read into a base, numbers and takes; track numbers, guest credits, editions and file labels are dropped.
-
-Heuristics vote on every candidate: title, numbers, take, artist as written, album, recording identifier; each says
-yes, no or nothing. A generative model with one hidden class learns from the counts of vote patterns (at most
-3^6, whatever the number of candidates) how often each heuristic says what for matches and for others, by
-expectation maximisation; heuristics that agree more than the class explains are correlated, and their evidence is
-shared out before the model is fitted again. The posterior is the confidence.
+Candidates share the artist's entity (the trie join of names) and have titles within two slips of each other (a letter
+added, dropped or changed, or two neighbours swapped), found on segments of the title, so neither an artist with many
+tracks nor a popular title is crossed with itself. Titles are read into a base, numbers and takes; track numbers, guest
+credits, editions, file labels and file types are dropped.
+
+Heuristics vote on every candidate: title (yes if equal, no if a word differs that is a word in its own right), numbers,
+take, artist as written, album, recording identifier; each says yes, no or nothing. A generative model explains the
+counts of vote patterns (at most 3^6, whatever the number of candidates) by hidden classes: the same recording, or
+another one for one of the reasons there are, another part, another take, another title. A class of the latter kind is
+defined by the vote that reveals it, at a fixed accuracy (``REVEALED``); all else is learned by expectation
+maximisation: how large each class is, how often each heuristic errs on the same recording, and what each says in every
+class, from starting tables that count as ``STRENGTH`` candidates. Heuristics that agree more than the classes explain
+are correlated, and their evidence is shared out before the model is fitted again. The confidence is the posterior of
+the first class, and nothing but the confidence decides.
+
+An identifier alone makes no candidate: many belong to something else. It votes.
 
 Defined cases: a play or track without artist or title (NULL or empty) has no candidates; a title of labels or
 numbers alone is compared whole; plays with equal texts get equal answers; a track kept twice is returned twice;
@@ -32,16 +39,17 @@ from tonearm.session import durable
 from tonearm.sources.tables import present
 
 VOTES = ("title", "numbers", "take", "artist", "album", "identifier")
-#: Share of matches among candidates, and weight in candidates, of what the model holds before it sees data.
-PRIOR, STRENGTH = 0.7, 100
+CLASSES = ("same", "other part", "other take", "other title")
+#: Weight, in candidates, of what the model holds of each class before it sees data.
+STRENGTH = 100
 EDITS = 2
-SEGMENTS = EDITS + 1
+SEGMENTS = EDITS + 2
 OTHER_TITLES, OTHER_SHARE, OTHER_LETTERS = 3, 0.1, 4
 
 # Words of labels that do not make another recording.
 LABEL_WORDS = set(
     """official audio video music lyric lyrics visualizer hq hd uhd album single version edition remaster remastered remastering
-    mono stereo deluxe special expanded anniversary bonus track explicit clean original reissue digital mix-down full
+    mono stereo deluxe special expanded anniversary bonus track explicit clean original reissue digital mixdown full
     """.split()
 )
 # Words that name another take.
@@ -53,18 +61,22 @@ GUEST_GROUP = re.compile(r"\s*[(\[]\s*(?:feat|ft|featuring|with)\b\.?[^)\]]*(?:[
 GUEST_TAIL = re.compile(r"\s+(?:feat|ft|featuring)\b\.?\s.*$")
 CUT_GUEST = re.compile(r"\s*[(\[](?:f|fe|fea|feat|ft)?\.?\s*$")
 GROUP = re.compile(r"\s*(?:[(\[]([^()\[\]]*)[)\]]|\s[-–—]\s+([^()\[\]]*?)\s*$)")
-GUEST_ARTIST = r"(?i)\s+[(\[]?\s*\b(feat|ft|featuring|with)\b\.?\s.*$"
+GUEST_ARTIST = r"(?i)\s+([(\[]?\s*\b(feat|ft|featuring)\b\.?|[(\[]\s*with)\s.*$"
+# File types, and kinds of "and".
+FILE = re.compile(r"(?<=\w|[)\]])\s*\.(?:mp3|flac|ogg|oga|opus|m4a|mp4|aac|wav|wma|aiff?|ape|alac)\s*$")
+AND = re.compile(r"\s(?:&|\+|and|und|et)\s|\s?&\s?")
 
 
 def read_title(title: str) -> tuple[str, str, str, str]:
     """(base, numbers, takes, words) of a title; the base is its words without blanks."""
     text = "".join(RAISED.get(c, c) for c in fold(title))
     text = plain(text)
-    text = CUT_GUEST.sub("", GUEST_TAIL.sub("", GUEST_GROUP.sub("", TRACK.sub("", text))))
+    text = CUT_GUEST.sub("", GUEST_TAIL.sub("", GUEST_GROUP.sub("", TRACK.sub("", FILE.sub("", text)))))
+    text = AND.sub(" and ", text.replace("_", " "))
     takes: set[str] = set()
 
     def group(m: re.Match) -> str:
-        words = re.findall(r"\w+", m.group(1) or m.group(2) or "")
+        words = re.findall(r"\w+", (m.group(1) or m.group(2) or "").replace("mix-down", "mixdown"))
         own = TAKE_WORDS & set(words)
         if own:
             takes.update(own)
@@ -109,16 +121,20 @@ def read_titles(texts: DataFrame) -> DataFrame:
 
 
 def near_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(entity, left_base, right_base, distance) of titles of one entity within ``EDITS`` edits.
+    """(entity, left_base, right_base, distance) of titles of one entity within ``EDITS`` slips.
 
-    Both sides are (entity, base). Two edits spoil two of three segments of the right-hand title; the third stands
-    in the left-hand one, moved by no more than the edits. Short titles may differ by one edit, or not at all.
+    Both sides are (entity, base). Two slips spoil at most three of four segments of the right-hand title, unless both
+    are swaps across segment borders, and then the letters are the same, which is one more key; a whole segment stands
+    in the left-hand title, moved by no more than the slips. A swap takes two edits and changes no letter, so two
+    edits that move letters count as one slip. Titles below eight letters may
+    differ by one slip, below four not at all.
     """
     size, border = F.length("base"), lambda length, i: F.floor(length * i / SEGMENTS)
     piece = lambda length, i, s: F.substring(
         F.col("base"), (border(length, i) + s + 1).cast("int"), (border(length, i + 1) - border(length, i)).cast("int")
     )
     key = lambda length, i, s: F.xxhash64("entity", length, F.lit(i), piece(length, i, s))
+    letters = F.xxhash64("entity", F.lit(-1), F.array_sort(F.split("base", "")))
     places = [
         F.when((size + d > 0) & (border(size + d, i) + s >= 0) & (border(size + d, i + 1) + s <= size), key(size + d, i, s))
         for d in range(-EDITS, EDITS + 1)
@@ -129,19 +145,23 @@ def near_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     index = right.select(
         F.col("entity").alias("right_entity"),
         F.col("base").alias("right_base"),
-        F.explode(F.array(*[key(size, i, 0) for i in range(SEGMENTS)])).alias("block"),
+        F.explode(F.array(*[key(size, i, 0) for i in range(SEGMENTS)], letters)).alias("block"),
     )
-    probe = left.select("entity", F.col("base").alias("left_base"), F.explode(F.array_distinct(F.array(*places))).alias("block"))
+    probe = left.select("entity", F.col("base").alias("left_base"), F.explode(F.array_distinct(F.array(*places, letters))).alias("block"))
     shorter = F.least(F.length("left_base"), F.length("right_base"))
     allowed = F.when(shorter >= 8, EDITS).when(shorter >= 4, 1).otherwise(0)
-    # One swap of neighbours is one slip of the pen, though it takes two edits.
-    distance = F.levenshtein("left_base", "right_base", EDITS)
-    swapped = (F.array_sort(F.split("left_base", "")) == F.array_sort(F.split("right_base", ""))) & (shorter >= 4)
     met = probe.where(F.col("block").isNotNull()).join(index, "block")
     met = met.where(F.col("entity") == F.col("right_entity")).select("entity", "left_base", "right_base").distinct()
-    return met.withColumn("distance", distance).where(
-        (F.col("distance") >= 0) & ((F.col("distance") <= allowed) | swapped)
-    )
+    # A swap is two edits that change no letter: slips = (edits + changed letters) / 2 or, where all change, the edits.
+    edits = F.levenshtein("left_base", "right_base", 2 * EDITS)
+    measured = met.withColumn("edits", edits).where(F.col("edits") >= 0)
+    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
+    letters = F.array_distinct(F.split(F.concat("left_base", "right_base"), ""))
+    apart = F.aggregate(letters, F.lit(0), lambda n, x: n + F.abs(count("left_base", x) - count("right_base", x)))
+    changed = (apart + F.abs(F.length("left_base") - F.length("right_base"))) / 2
+    slips = F.when(F.col("edits") <= 1, F.col("edits")).otherwise(F.ceil((F.col("edits") + changed) / 2).cast("int"))
+    near = measured.withColumn("distance", slips)
+    return near.where(F.col("distance") <= allowed).select("entity", "left_base", "right_base", "distance")
 
 
 def other_words(pairs: DataFrame, read: DataFrame) -> DataFrame:
@@ -176,7 +196,7 @@ def vote(yes: Column, no: Column) -> Column:
 
 
 def candidates(plays: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(play_id, track_id, pattern, numbers_agree, take_agrees) of all candidates with their votes.
+    """(play_id, track_id, pattern) of all candidates with their votes.
 
     ``plays`` is (play_id, artist, title, album, identifier); ``tracks`` the same with track_id and identifiers
     (an array).
@@ -186,7 +206,7 @@ def candidates(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     plays = plays.where(usable).withColumn("lead", lead)
     tracks = tracks.where(usable).withColumn("lead", lead)
     names = plays.select("lead").unionAll(tracks.select("lead")).groupBy(F.col("lead").alias("name"))
-    entity = link_names(names.agg(F.count(F.lit(1)).alias("n"))).select(F.col("name").alias("lead"), "entity")
+    entity = link_names(names.agg(F.count(F.lit(1)).alias("n")), credits=True).select(F.col("name").alias("lead"), "entity")
     texts = [t.select(F.col(c).alias("text")) for t in (plays, tracks) for c in ("title", "album")]
     read = durable(read_titles(texts[0].unionAll(texts[1]).unionAll(texts[2]).unionAll(texts[3])))
     titles = read.select(F.col("text").alias("title"), "base", "numbers", "takes", "words")
@@ -194,7 +214,7 @@ def candidates(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     entity = durable(entity)
 
     # Every play of the same artist and title has the same candidates: they are sought once.
-    known = tracks.join(entity, "lead").join(titles, "title").join(albums, "album", "left")
+    known = with_album(tracks.join(entity, "lead").join(titles, "title"), albums, "track_id")
     known = durable(
         known.select(
             "track_id", "entity", "base", "numbers", "takes", "words", F.lower("lead").alias("track_lead"),
@@ -221,12 +241,12 @@ def candidates(plays: DataFrame, tracks: DataFrame) -> DataFrame:
         )
     )
     pairs = durable(pairs)
-    pairs = pairs.join(other_words(pairs, read), ["lead", "title", "track_id"], "left_anti")
-    rows = plays.join(pairs, ["lead", "title"]).join(albums, "album", "left")
+    pairs = pairs.join(other_words(pairs, read).withColumn("other", F.lit(True)), ["lead", "title", "track_id"], "left")
+    rows = with_album(plays.join(pairs, ["lead", "title"]), albums, "play_id")
     said = present("identifier") & (F.size("identifiers") > 0)
     both = F.col("album_base").isNotNull() & F.col("track_album").isNotNull()
     votes = [
-        vote(F.col("distance") == 0, F.col("distance") > 1),
+        vote(F.col("distance") == 0, F.col("other").isNotNull()),
         vote(F.col("numbers_agree"), ~F.col("numbers_agree")),
         vote(F.col("take_agrees"), ~F.col("take_agrees")),
         vote(F.lower("lead") == F.col("track_lead"), F.lit(False)),
@@ -234,49 +254,81 @@ def candidates(plays: DataFrame, tracks: DataFrame) -> DataFrame:
         vote(said & F.array_contains("identifiers", F.col("identifier")), said),
     ]
     pattern = sum(((v + 1) * 3**i for i, v in enumerate(votes)), F.lit(0)).cast("int")
-    return rows.select("play_id", "track_id", pattern.alias("pattern"), "numbers_agree", "take_agrees")
+    return rows.select("play_id", "track_id", pattern.alias("pattern"))
+
+
+def with_album(rows: DataFrame, albums: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the reading of their album; those without one are spread over the tasks by ``key``."""
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(key), F.lit(997)).cast("string"))
+    keyed = rows.withColumn("_album", F.when(present("album"), F.col("album")).otherwise(spread))
+    return keyed.join(albums.withColumnRenamed("album", "_album"), "_album", "left").drop("_album")
 
 
 class LabelModel:
-    """Hidden class (match or not) behind the votes; learned from pattern counts alone."""
+    """Hidden classes behind the votes; learned from pattern counts alone.
+
+    ``tables[k, i, v]`` is how often heuristic i says v (no, nothing, yes) in class k, ``sizes[k]`` the class's share.
+    """
+
+    #: What each heuristic says of the same recording to begin with (no, yes), and the vote that defines a class.
+    SAME = {
+        "title": (0.002, 0.9), "numbers": (0.002, 0.998), "take": (0.002, 0.998),
+        "artist": (0.0, 0.75), "album": (0.1, 0.6), "identifier": (0.05, 0.1),
+    }
+    REVEALED = {"other part": ("numbers", 0.97), "other take": ("take", 0.97), "other title": ("title", 0.97)}
+    #: Another recording has the identifier of this one only by mistake.
+    ELSEWHERE = (0.1, 0.01)
 
     def __init__(self, rounds: int = 60) -> None:
         self.rounds = rounds
-        say_yes = np.array([0.85, 0.97, 0.97, 0.5, 0.4, 0.1])
-        say_no = np.array([0.05, 0.02, 0.02, 0.0, 0.4, 0.05])
-        wrong_yes = np.array([0.7, 0.4, 0.4, 0.5, 0.2, 0.01])
-        wrong_no = np.array([0.2, 0.5, 0.5, 0.0, 0.6, 0.15])
-        table = lambda y, n: np.stack([n, 1 - y - n, y], 1)
-        self.tables = np.stack([table(wrong_yes, wrong_no), table(say_yes, say_no)]) + 1e-3
-        self.tables /= self.tables.sum(2, keepdims=True)
-        self.start = self.tables.copy()
-        self.prior, self.weights = PRIOR, np.ones(len(VOTES))
+        self.start = np.empty((len(CLASSES), len(VOTES), 3))
+        self.fixed = np.zeros((len(CLASSES), len(VOTES)), bool)
+        for k, c in enumerate(CLASSES):
+            for i, v in enumerate(VOTES):
+                no, yes = self.ELSEWHERE if k and v == "identifier" else self.SAME[v]
+                if k and self.REVEALED[c][0] == v:
+                    no, yes = self.REVEALED[c][1], (1 - self.REVEALED[c][1]) / 2
+                    self.fixed[k, i] = True
+                self.start[k, i] = no, 1 - no - yes, yes
+        self.start += 1e-4
+        self.start /= self.start.sum(2, keepdims=True)
+        self.tables = self.start.copy()
+        self.sizes, self.weights = np.full(len(CLASSES), 1 / len(CLASSES)), np.ones(len(VOTES))
+
+    @staticmethod
+    def votes(patterns: np.ndarray) -> np.ndarray:
+        return patterns[:, None] // 3 ** np.arange(len(VOTES)) % 3
+
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """Posterior of every class for each row of votes."""
+        columns = np.arange(len(VOTES))
+        log = np.stack([(np.log(t[columns[None, :], votes]) * self.weights).sum(1) for t in self.tables], 1) + np.log(self.sizes)
+        p = np.exp(log - log.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        columns = np.arange(len(VOTES))
-        log = [(np.log(t[columns[None, :], votes]) * self.weights).sum(1) for t in self.tables]
-        odds = log[1] - log[0] + np.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        return self.classes(votes)[:, 0]
 
     def _maximise(self, votes: np.ndarray, counts: np.ndarray) -> None:
         for _ in range(self.rounds):
-            p = self.posterior(votes)
-            for k, w in enumerate((counts * (1 - p), counts * p)):
+            p = self.classes(votes) * counts[:, None]
+            for k in range(len(CLASSES)):
                 # The starting tables count as some candidates, so no rule is ever certain and few data change little.
                 total = self.start[k] * STRENGTH
                 for i in range(len(VOTES)):
-                    total[i] += np.bincount(votes[:, i], w, 3)
-                self.tables[k] = total / total.sum(1, keepdims=True)
-            self.prior = float(((counts * p).sum() + PRIOR * STRENGTH) / (counts.sum() + STRENGTH))
+                    total[i] += np.bincount(votes[:, i], p[:, k], 3)
+                self.tables[k] = np.where(self.fixed[k][:, None], self.start[k], total / total.sum(1, keepdims=True))
+            self.sizes = (p.sum(0) + 1) / (counts.sum() + len(CLASSES))
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
         if not len(patterns):
             return self
-        votes = patterns[:, None] // 3 ** np.arange(len(VOTES)) % 3
+        votes = self.votes(patterns)
         self._maximise(votes, counts)
-        p, x = self.posterior(votes), votes - 1.0
+        p, x = self.classes(votes), votes - 1.0
         excess = np.zeros((len(VOTES), len(VOTES)))
-        for w in (counts * (1 - p), counts * p):
+        for k in range(len(CLASSES)):
+            w = counts * p[:, k]
             if w.sum() > 1:
                 centred = x - np.average(x, 0, w)
                 covariance = (centred * w[:, None]).T @ centred / w.sum()
@@ -295,9 +347,6 @@ def link_recordings(
 
     All plays count in linking the names; those in ``answered`` (play_id) get no answer. They are taken out
     of the candidates, which are narrow, and not out of the plays, so the plays' texts are moved once.
-
-    An exact check follows the model: numbers and takes must agree, for another part or take is another recording
-    however much else speaks for it.
     """
     spark = plays.sparkSession
     found = candidates(plays, tracks)
@@ -307,10 +356,7 @@ def link_recordings(
     counted = found.groupBy("pattern").count().collect()  # at most 3^6 rows
     patterns = np.array([r["pattern"] for r in counted], np.int64)
     model = LabelModel().fit(patterns, np.array([r["count"] for r in counted], float))
-    votes = patterns[:, None] // 3 ** np.arange(len(VOTES)) % 3
-    scores = model.posterior(votes) if len(patterns) else np.zeros(0)
+    scores = model.posterior(model.votes(patterns)) if len(patterns) else np.zeros(0)
     table = spark.createDataFrame(list(zip(patterns.tolist(), scores.tolist())), "pattern int, confidence double")
     scored = found.join(F.broadcast(table), "pattern")
-    return scored.where((F.col("confidence") >= least) & F.col("numbers_agree") & F.col("take_agrees")).select(
-        "play_id", "track_id", "confidence"
-    )
+    return scored.where(F.col("confidence") >= least).select("play_id", "track_id", "confidence")

@@ -11,7 +11,7 @@ counts of vote patterns (at most 3^6, whatever the number of candidates) by hidd
 another one for one of the reasons there are, another part, another take, another title. A class of the latter kind is
 defined by the vote that reveals it, at a fixed accuracy (``REVEALED``); all else is learned by expectation
 maximisation: how large each class is, how often each heuristic errs on the same recording, and what each says in every
-class, from starting tables that count as ``STRENGTH`` candidates. Heuristics that agree more than the classes explain
+class, from starting tables that count as ``STRENGTH`` candidates (for the defining votes as many as there are). Heuristics that agree more than the classes explain
 are correlated, and their evidence is shared out before the model is fitted again. The confidence is the posterior of
 the first class, and nothing but the confidence decides.
 
@@ -42,6 +42,8 @@ VOTES = ("title", "numbers", "take", "artist", "album", "identifier")
 CLASSES = ("same", "other part", "other take", "other title")
 #: Weight, in candidates, of what the model holds of each class before it sees data.
 STRENGTH = 100
+#: Share of all candidates that every class holds before it sees data, so rare reasons stay reasons.
+LEAST_SHARE = 0.01
 EDITS = 2
 SEGMENTS = EDITS + 2
 OTHER_TITLES, OTHER_SHARE, OTHER_LETTERS = 3, 0.1, 4
@@ -272,7 +274,7 @@ class LabelModel:
 
     #: What each heuristic says of the same recording to begin with (no, yes), and the vote that defines a class.
     SAME = {
-        "title": (0.002, 0.9), "numbers": (0.002, 0.998), "take": (0.002, 0.998),
+        "title": (0.0005, 0.9), "numbers": (0.0005, 0.9995), "take": (0.0005, 0.9995),
         "artist": (0.0, 0.75), "album": (0.1, 0.6), "identifier": (0.05, 0.1),
     }
     REVEALED = {"other part": ("numbers", 0.97), "other take": ("take", 0.97), "other title": ("title", 0.97)}
@@ -290,7 +292,8 @@ class LabelModel:
                     no, yes = self.REVEALED[c][1], (1 - self.REVEALED[c][1]) / 2
                     self.fixed[k, i] = True
                 self.start[k, i] = no, 1 - no - yes, yes
-        self.start += 1e-4
+        self.defining = self.fixed.any(0)
+        self.start += 1e-5
         self.start /= self.start.sum(2, keepdims=True)
         self.tables = self.start.copy()
         self.sizes, self.weights = np.full(len(CLASSES), 1 / len(CLASSES)), np.ones(len(VOTES))
@@ -313,12 +316,14 @@ class LabelModel:
         for _ in range(self.rounds):
             p = self.classes(votes) * counts[:, None]
             for k in range(len(CLASSES)):
-                # The starting tables count as some candidates, so no rule is ever certain and few data change little.
-                total = self.start[k] * STRENGTH
+                # The starting tables count as some candidates, so no rule is ever certain and few data change little;
+                # those of the votes that define a class count as much as the data, or classes would trade places.
+                total = self.start[k] * np.where(self.defining, max(STRENGTH, counts.sum()), STRENGTH)[:, None]
                 for i in range(len(VOTES)):
                     total[i] += np.bincount(votes[:, i], p[:, k], 3)
                 self.tables[k] = np.where(self.fixed[k][:, None], self.start[k], total / total.sum(1, keepdims=True))
-            self.sizes = (p.sum(0) + 1) / (counts.sum() + len(CLASSES))
+            sizes = p.sum(0) + LEAST_SHARE * counts.sum()
+            self.sizes = sizes / sizes.sum()
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
         if not len(patterns):

@@ -7,8 +7,10 @@ it: the longest common run is marked first, then the longest of what is left, ea
 reordered pieces count and repeated ones do not count twice. One changed word between two tiles is bridged. A
 document is reported with an item if its tiles cover at least ``share`` of the item's characters.
 
-Items are the stated query set and are held by every task, in blocks of at most ``BLOCK_CHARS`` characters; with
-more items than one block holds, the documents are scanned once per block. There is no shuffle.
+Items are the stated query set. They are sent to the executors in blocks of at most ``BLOCK_CHARS`` characters, each a
+broadcast whose index a Python worker builds once and keeps for its next tasks. With more items than one block holds,
+the documents are scanned once per block and each block's answers are written before the next is read, so the driver
+and the executors never hold more than one. There is no shuffle.
 
 Defined cases: NULL or empty documents hold nothing; an item without tokens is in no document; an item shorter
 than a seed must occur whole; equal documents are each reported, equal items each count; whole documents are read;
@@ -18,9 +20,10 @@ further columns are not read.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm.lookalike import fold
+from tonearm.session import durable
 
 SEED = 4
 SHARE = 0.5
@@ -136,26 +140,22 @@ class Items:
             same = doc[lo + offset : hi + offset] == own[lo:hi]
             edges = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
             matches += [(b - a, lo + a, offset) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= least]
-        marked_item = np.zeros(len(own), bool)
-        taken: list[tuple[int, int]] = []
+        marked_item, marked_doc = np.zeros(len(own), bool), np.zeros(len(doc), bool)
         tiles: list[tuple[int, int, int]] = []
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
-        while matches:
-            length, q, offset = matches.pop(0)
-            free = ~marked_item[q : q + length]
-            for a, b in taken:
-                if a < q + offset + length and b > q + offset:
-                    free[max(a - q - offset, 0) : b - q - offset] = False
+        heap = [(-length, q, offset) for length, q, offset in matches]
+        heapify(heap)
+        while heap:
+            length, q, offset = heappop(heap)
+            length = -length
+            free = ~(marked_item[q : q + length] | marked_doc[q + offset : q + offset + length])
             if free.all():
-                marked_item[q : q + length] = True
-                taken.append((q + offset, q + offset + length))
+                marked_item[q : q + length] = marked_doc[q + offset : q + offset + length] = True
                 tiles.append((q, q + length, offset))
                 continue
             edges = np.flatnonzero(np.diff(np.r_[0, free.astype(np.int8), 0]))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
                 if b - a >= least:
-                    place = bisect_right(matches, (-(b - a), q + a, offset), key=lambda m: (-m[0], m[1], m[2]))
-                    matches.insert(place, (b - a, q + a, offset))
+                    heappush(heap, (a - b, q + a, offset))
         tiles.sort()
         for (_, end, offset), (begin, _, following) in zip(tiles, tiles[1:]):
             if begin - end == 1 and abs(offset - following) <= 1:
@@ -163,9 +163,22 @@ class Items:
         return float(weights[marked_item].sum() / weights.sum())
 
 
-def _scan(rows: list[tuple[int, str]], share: float, k: int):
+_INDEX: dict[tuple, Items] = {}
+
+
+def _index(rows, k: int, name: str) -> Items:
+    """The index of a broadcast block, built once in each Python worker; the last one is kept."""
+    if (name, k) not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name, k] = Items(rows.value, k)
+    return _INDEX[name, k]
+
+
+def _scan(rows, share: float, k: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows, k)
+        items = _index(rows, k, name)
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             found = list(items.leaks([t or "" for t in batch.column("text").to_pylist()], share))
@@ -205,8 +218,13 @@ def leaked_items(
     """(doc_id, item_id, covered) of ``documents`` (doc_id long, text) against ``items`` (item_id long, text)."""
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
     schema = "doc_id long, item_id long, covered double"
-    out = None
+    spark, out, before = texts.sparkSession, None, None
     for block in item_blocks(items, block_chars):
-        part = texts.mapInArrow(_scan(block, share, seed), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else texts.sparkSession.createDataFrame([], schema)
+        if before is not None:
+            # A further block: what the one before it found is written, and the driver lets go of its items.
+            before = durable(before)
+            out = before if out is None else out.unionByName(before)
+        before = texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), share, seed), schema)
+    if before is None:
+        return spark.createDataFrame([], schema)
+    return before if out is None else out.unionByName(before)

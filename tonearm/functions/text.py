@@ -14,13 +14,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# Markers of versions, album decorations and guests, as the matching rules list them.
-VERSION = "remaster(?:ed)?|radio|album|single|extended|mono|stereo|live|acoustic|instrumental|demo|deluxe"
-DECORATION = "edition|remaster(?:ed)?|version|reissue|explicit|expanded|anniversary|bonus"
+# Markers of versions of a title and of editions of an album, as the matching rules have them. A bracket or
+# what follows a dash must be one of them and nothing else. YEAR is four digits, REST any further words; what stands in
+# square brackets may be missing.
+VERSION = """
+remastered YEAR | remaster YEAR | YEAR remastered | YEAR remaster | radio edit | radio mix | radio version
+album version | album mix | album edit | single version | single edit | single mix
+extended version | extended mix | extended edit | mono version | stereo version | remastered | remaster
+live[ REST] | acoustic[ version] | acoustic mix | instrumental[ version] | demo[ version] | deluxe[ edition] | deluxe version
+"""
+DECORATION = """
+deluxe[ edition] | deluxe version | expanded[ edition] | special[ edition] | anniversary[ edition]
+collector[ edition] | collectors[ edition] | collector's[ edition] | collector'[ edition] | limited[ edition]
+bonus[ edition] | bonus version | bonuss[ edition] | bonuss version | bonus track[ edition] | bonus track version
+bonus tracks[ edition] | bonus tracks version | remastered YEAR | remaster YEAR | YEAR remastered | YEAR remaster
+remastered | remaster | reissue | explicit[ version] | explicit content | clean[ version]
+"""
+# Words that a bracket cut off by a length limit begins with.
+CUT = "live|acoustic|remastered|remaster|deluxe|extended|radio|album|single|mono|stereo|instrumental|demo"
 GUEST = "feat\\.?|ft\\.?|featuring"
 GUEST_OR_WITH = GUEST + "|with"
 
 
+def phrases(listed: str) -> str:
+    """The regular expression of a list of phrases."""
+    one = lambda p: re.sub(r"\[ (\w+)\]", r"(?:\\s+\1)?", p).replace("YEAR", r"\d{4}").replace("REST", r"[^)\]]+").replace(" ", r"\s+")
+    return "|".join(one(p.strip()) for p in re.split(r"[|\n]", listed) if p.strip())
+
+
 def _tidy(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 
@@ -38,12 +59,6 @@ def _normalize_any(s: pd.Series) -> pd.Series:
     return s.map(_normal, na_action="ignore")
 
 
-def normalize_ascii(c: Column) -> Column:
-    """The normaliser for ASCII text, inside code generation."""
-    kept = F.regexp_replace(F.lower(_tidy(c)), "[^a-z0-9\\s]", "")
-    return _tidy(F.regexp_replace(kept, "\\s+", " "))
-
-
 def normalize(c: Column) -> Column:
     """Trimmed, lower case, decomposed, without marks and punctuation, single blanks.
 
@@ -58,44 +73,48 @@ def strip_featured(c: Column) -> Column:
     return _tidy(F.regexp_replace(out, f"(?iU)\\s+(?:{GUEST})\\s.*$", ""))
 
 
+def _without_closing(c: Column, pattern: str) -> Column:
+    """``c`` without a closing bracket, square bracket or dash and what the pattern matches whole after it."""
+    out = F.regexp_replace(c, f"(?iU)\\s*\\((?:{pattern})\\)\\s*$", "")
+    out = F.regexp_replace(out, f"(?iU)\\s*\\[(?:{pattern})\\]\\s*$", "")
+    return _tidy(F.regexp_replace(out, f"(?iU)\\s+[-–—]\\s+(?:{pattern})\\s*$", ""))
+
+
 def strip_version(c: Column) -> Column:
-    """A title without a trailing version marker in brackets or after a dash."""
-    out = F.regexp_replace(c, f"(?iU)\\s*\\([^()]*\\b(?:{VERSION})\\b[^()]*\\)\\s*$", "")
-    out = F.regexp_replace(out, f"(?iU)\\s*\\[[^\\[\\]]*\\b(?:{VERSION})\\b[^\\[\\]]*\\]\\s*$", "")
-    return _tidy(F.regexp_replace(out, f"(?iU)\\s+-\\s+[^-]*\\b(?:{VERSION})\\b[^-]*$", ""))
+    """A title without a version marker at its end, in brackets or after a dash. A remix is another recording."""
+    return _without_closing(c, phrases(VERSION))
 
 
 def strip_decoration(c: Column) -> Column:
-    """An album without a trailing edition or reissue decoration."""
-    out = F.regexp_replace(c, f"(?iU)\\s*\\([^()]*\\b(?:{DECORATION})\\b[^()]*\\)\\s*$", "")
-    out = F.regexp_replace(out, f"(?iU)\\s*\\[[^\\[\\]]*\\b(?:{DECORATION})\\b[^\\[\\]]*\\]\\s*$", "")
-    return _tidy(F.regexp_replace(out, f"(?iU)\\s+-\\s+[^-]*\\b(?:{DECORATION})\\b[^-]*$", ""))
+    """An album without an edition or reissue decoration at its end."""
+    return _without_closing(c, phrases(DECORATION))
 
 
 def strip_title_featuring(c: Column) -> Column:
     """A title without a closing "(feat. ...)" or "[feat. ...]"."""
-    return _tidy(F.regexp_replace(c, f"(?iU)\\s*[\\(\\[]\\s*(?:{GUEST_OR_WITH})\\s[^\\)\\]]*[\\)\\]]\\s*$", ""))
+    out = F.regexp_replace(c, f"(?iU)\\s*\\((?:{GUEST_OR_WITH})\\s+[^)\\]]+\\)\\s*$", "")
+    return _tidy(F.regexp_replace(out, f"(?iU)\\s*\\[(?:{GUEST_OR_WITH})\\s+[^)\\]]+\\]\\s*$", ""))
 
 
 def strip_track_number(c: Column) -> Column:
-    return F.regexp_replace(c, "^\\d{1,3}[_\\-.\\s]+(?=\\S)", "")
+    return _tidy(F.regexp_replace(c, "^\\d{1,3}[_\\-.\\s]+(?=\\S)", ""))
 
 
 def strip_truncated(c: Column) -> Column:
     """A title without a marker bracket that was cut off; one with any closed bracket stays as it is."""
-    cut = F.regexp_replace(c, f"(?iU)\\s*\\((?:{GUEST_OR_WITH}|{VERSION})\\b[^)]*$", "")
-    return F.when(c.rlike("\\([^()]*\\)"), c).otherwise(_tidy(cut))
+    cut = F.regexp_replace(c, f"(?iU)\\s*\\((?:{GUEST_OR_WITH}|{CUT})[^)]*$", "")
+    return F.when(c.rlike("\\([^)]*\\)"), c).otherwise(_tidy(cut))
 
 
 def lead_artist(c: Column) -> Column:
     """The first of several joined artists."""
-    first = _tidy(F.regexp_extract(c, "(?iU)^(.*?)(?:,| - |\\s*&|\\s+(?:and|et|vs\\.?|x)\\s)", 1))
+    first = _tidy(F.regexp_extract(c, "(?iU)^(.*?)(?:\\s*,\\s*|\\s+-\\s+|\\s*&\\s*|\\s+(?:and|et|vs\\.?|x)\\s+)", 1))
     return F.when(first != "", first).otherwise(c)
 
 
 def has_featuring(c: Column) -> Column:
-    closed = c.rlike(f"(?iU)[\\(\\[]\\s*(?:{GUEST_OR_WITH})\\s[^\\)\\]]*[\\)\\]]")
-    return closed | (~c.rlike("\\([^()]*\\)") & c.rlike(f"(?iU)\\(\\s*(?:{GUEST_OR_WITH})\\b[^)]*$"))
+    closed = c.rlike(f"(?iU)\\((?:{GUEST_OR_WITH})\\s+[^)]+\\)|\\[(?:{GUEST_OR_WITH})\\s+[^\\]]+\\]")
+    return closed | (~c.rlike("\\([^)]*\\)") & c.rlike(f"(?iU)\\((?:{GUEST_OR_WITH})\\s+"))
 
 
 def couple_key(artist: Column, title: Column) -> Column:

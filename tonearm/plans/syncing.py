@@ -9,6 +9,7 @@ from tonearm.functions import text
 from tonearm.operators import filters, matching, recommend, sync
 from tonearm.operators.stats import top
 from tonearm.plans.listening import NOW, library_plays
+from tonearm.plans import sqltext as q
 from tonearm.plans.registry import Registry
 from tonearm.session import durable
 from tonearm.sources.tables import epoch_seconds, present, table
@@ -371,12 +372,20 @@ def couple_keys(spark, sf):
     return m.select(text.couple_key(F.col("artist"), F.col("title")).alias("k")).select(F.col("k.artist").alias("a"), F.col("k.title").alias("t")).distinct()
 
 
-@REGISTRY.query("normalize_text")
+@REGISTRY.query(
+    "normalize_text",
+    f"""SELECT raw, {q.norm('raw')} AS norm FROM (SELECT title AS raw FROM scrobbles UNION SELECT artist FROM scrobbles UNION SELECT title FROM media_file)
+        WHERE raw <> ''""",
+)
 def normalize_text(spark, sf):
     return matching.norms(table(spark, sf, "scrobbles", "title"), table(spark, sf, "scrobbles", "artist"), table(spark, sf, "media_file", "title"))
 
 
-@REGISTRY.query("strip_titles")
+@REGISTRY.query(
+    "strip_titles",
+    f"""SELECT title, {q.version('title')} AS version, {q.title_featuring('title')} AS featuring, {q.truncated('title')} AS truncated,
+               {q.featuring('title')} AS marked FROM (SELECT DISTINCT title FROM scrobbles WHERE title <> '')""",
+)
 def strip_titles(spark, sf):
     t = table(spark, sf, "scrobbles", "title").where(present("title")).distinct()
     c = F.col("title")
@@ -386,7 +395,16 @@ def strip_titles(spark, sf):
     )
 
 
-@REGISTRY.query("strip_artists")
+@REGISTRY.query("strip_albums", f"SELECT album, {q.decoration('album')} AS bare FROM (SELECT DISTINCT album FROM media_file WHERE album <> '')")
+def strip_albums(spark, sf):
+    a = table(spark, sf, "media_file", "album").where(present("album")).distinct()
+    return a.select("album", text.strip_decoration(F.col("album")).alias("bare"))
+
+
+@REGISTRY.query(
+    "strip_artists",
+    f"""SELECT artist, {q.featured('artist')} AS plain, {q.lead('artist')} AS lead FROM (SELECT DISTINCT artist FROM scrobbles WHERE artist <> '')""",
+)
 def strip_artists(spark, sf):
     t = table(spark, sf, "scrobbles", "artist").where(present("artist")).distinct()
     return t.select("artist", text.strip_featured(F.col("artist")).alias("plain"), text.lead_artist(F.col("artist")).alias("lead"))
@@ -399,7 +417,38 @@ def _library(spark, sf):
     return table(spark, sf, "media_file", "id", "artist", "album_artist", "title", "album", "mbz_track_id", "mbz_recording_id")
 
 
-@REGISTRY.query("match_cascade")
+def _n(x: str) -> str:
+    return q.norm(f"nullif({x}, '')")
+
+
+_SIDES = f"""m AS MATERIALIZED (SELECT *, {_n('artist')} AS a, {_n('album_artist')} AS aa, {_n('title')} AS t, {_n('album')} AS al, {_n(q.decoration('album'))} AS alb
+         FROM media_file),
+  r AS MATERIALIZED (SELECT *, row_number() OVER () AS k, {_n('artist')} AS a, {_n('title')} AS t, {_n('album')} AS al, {_n(q.decoration('album'))} AS alb,
+              {_n(q.featured(f"({q.lead('artist')})"))} AS lead, {_n(q.bare('title'))} AS bare, {q.featuring('title')} AS marked
+       FROM (SELECT DISTINCT artist, title, album, mbid_track FROM PLAYS) AS s),
+  e AS (SELECT 'any' AS mode, a, t, 0 AS rank, id FROM m UNION ALL SELECT 'any', aa, t, 1, id FROM m UNION ALL SELECT 'both', a, t, 0, id FROM m WHERE a = aa
+        UNION ALL SELECT 'feat', array_to_string(w[1:i], ' '), t, 0, id FROM (SELECT *, string_split(a, ' ') AS w FROM m) AS x, unnest(range(1, len(w) - 1)) AS u(i)
+                  WHERE w[i + 1] IN ('feat', 'ft', 'featuring', 'with')),
+  q AS (SELECT k, 1 AS p, 'any' AS mode, a, t FROM r UNION ALL SELECT k, 2, 'any', lead, t FROM r WHERE lead <> a UNION ALL SELECT k, 3, 'any', a, bare FROM r WHERE bare <> t
+        UNION ALL SELECT k, 4, 'feat', a, bare FROM r WHERE marked UNION ALL SELECT k, 5, 'any', lead, bare FROM r WHERE lead <> a AND bare <> t
+        UNION ALL SELECT k, 6, 'feat', a, t FROM r WHERE NOT marked UNION ALL SELECT k, 7, 'both', lead, t FROM r WHERE lead <> a),
+  s1 AS (SELECT r.k, min(m.id) AS id FROM r JOIN (SELECT id, mbz_track_id AS x FROM media_file UNION ALL SELECT id, mbz_recording_id FROM media_file) AS m
+         ON m.x = r.mbid_track WHERE r.mbid_track <> '' GROUP BY 1),
+  t1 AS (SELECT r.k, count(*) AS n, min(m.id) AS id FROM r JOIN m ON m.a = r.a AND m.t = r.t AND m.al = r.al WHERE r.album <> '' GROUP BY 1),
+  t2 AS (SELECT r.k, count(*) AS n, min(m.id) AS id FROM r JOIN m ON m.a = r.a AND m.t = r.t AND m.alb = r.alb
+         WHERE r.album <> '' AND r.k NOT IN (SELECT k FROM t1) GROUP BY 1),
+  s3 AS (SELECT k, arg_min(id, (p, rank, id)) AS id FROM q JOIN e USING (mode, a, t) WHERE a <> '' AND t <> '' GROUP BY 1),
+  hit AS (SELECT k, 1 AS stage, id FROM s1 UNION ALL SELECT k, 2, id FROM t1 WHERE n = 1 UNION ALL SELECT k, 2, id FROM t2 WHERE n = 1 UNION ALL SELECT k, 3, id FROM s3),
+  best AS (SELECT k, min(stage) AS stage, arg_min(id, stage) AS id FROM hit GROUP BY 1)"""
+_UNMATCHED_PLAYS = f"(SELECT s.* {_UNMATCHED})"
+
+
+@REGISTRY.query(
+    "match_cascade",
+    f"""WITH {_SIDES.replace('PLAYS', 'scrobbles')}
+        SELECT r.artist, r.title, r.album, r.mbid_track, best.id AS media_file_id, CASE stage WHEN 1 THEN 'mbid' WHEN 2 THEN 'triplet' ELSE 'couple' END AS strategy
+        FROM r JOIN best ON best.k = r.k""",
+)
 def match_cascade(spark, sf):
     # Every play is a request, whatever its sync row says and whether it has one.
     return matching.match_cascade(table(spark, sf, "scrobbles", *_REQUEST), _library(spark, sf))
@@ -423,7 +472,15 @@ def _norm_sides(spark, sf, plays):
     return matching.prepared_requests(plays, t), durable(matching.prepared_library(m, t))
 
 
-@REGISTRY.query("fuzzy_match")
+@REGISTRY.query(
+    "fuzzy_match",
+    f"""WITH {_SIDES.replace('PLAYS', 'scrobbles')},
+          asked AS (SELECT DISTINCT a, t FROM r WHERE k NOT IN (SELECT k FROM best) AND a <> '' AND t <> '' AND strlen(a) <= 255 AND strlen(t) <= 255),
+          met AS (SELECT asked.a, asked.t, m.id, levenshtein(asked.a, m.a) + levenshtein(asked.t, m.t) AS d FROM asked JOIN m
+                  ON (substr(m.a, 1, 3) = substr(asked.a, 1, 3) OR substr(m.t, 1, 3) = substr(asked.t, 1, 3))
+                  AND abs(strlen(m.a) - strlen(asked.a)) <= 2 AND abs(strlen(m.t) - strlen(asked.t)) <= 2 WHERE m.a <> '' AND m.t <> '')
+        SELECT a, t, arg_min(id, (d, id)) AS id, CAST(min(d) AS INTEGER) AS distance FROM met WHERE d <= 2 GROUP BY 1, 2""",
+)
 def fuzzy_match(spark, sf):
     requests, library = _norm_sides(spark, sf, table(spark, sf, "scrobbles", *_REQUEST))
     requests = durable(requests)
@@ -431,13 +488,28 @@ def fuzzy_match(spark, sf):
     return matching.fuzzy_match(left, library, 2)
 
 
-@REGISTRY.query("nearest_names")
+_NEAREST = """(SELECT x.a AS name, y.a AS near, CAST(levenshtein(x.a, y.a) AS INTEGER) AS distance,
+          row_number() OVER (PARTITION BY x.a ORDER BY levenshtein(x.a, y.a), y.a) AS k
+   FROM (SELECT DISTINCT a FROM r WHERE a IS NOT NULL) AS x JOIN (SELECT DISTINCT a FROM m WHERE a IS NOT NULL) AS y
+   ON x.a <> y.a AND substr(x.a, 1, 1) = substr(y.a, 1, 1) AND levenshtein(x.a, y.a) <= 2)"""
+
+
+@REGISTRY.query("nearest_names", f"WITH {_SIDES.replace('PLAYS', _UNMATCHED_PLAYS)} SELECT name, near, distance, CAST(k AS INTEGER) AS k FROM {_NEAREST} AS n WHERE k <= 3")
 def nearest_names(spark, sf):
     asked, library = _norm_sides(spark, sf, _unmatched(spark, sf, *_REQUEST))
     return matching.nearest_names(asked.select("a"), library.select("a"), 2)
 
 
-@REGISTRY.query("diagnose_unmatched")
+@REGISTRY.query(
+    "diagnose_unmatched",
+    f"""WITH {_SIDES.replace('PLAYS', _UNMATCHED_PLAYS)}, asked AS (SELECT DISTINCT a, t FROM r), own AS (SELECT a FROM m WHERE a <> '' UNION SELECT aa FROM m WHERE aa <> ''),
+          near AS (SELECT DISTINCT name FROM {_NEAREST} AS n)
+        SELECT a, t, CASE WHEN coalesce(a, '') = '' OR coalesce(t, '') = '' THEN 'unknown'
+            WHEN a NOT IN (FROM own) AND a IN (FROM near) THEN 'artist_near_match' WHEN a NOT IN (FROM own) THEN 'artist_unknown'
+            WHEN EXISTS (SELECT 1 FROM e WHERE e.mode = 'any' AND e.a = asked.a AND e.t = asked.t) THEN 'matcher_gap'
+            WHEN EXISTS (SELECT 1 FROM e WHERE e.mode = 'any' AND e.a = asked.a AND levenshtein(e.t, asked.t) BETWEEN 1 AND 3) THEN 'title_near_match'
+            ELSE 'track_missing' END AS verdict FROM asked""",
+)
 def diagnose_unmatched(spark, sf):
     return matching.diagnose(*_norm_sides(spark, sf, _unmatched(spark, sf, *_REQUEST)))
 
@@ -453,7 +525,14 @@ def nearest_genres(spark, sf):
     return near.select(F.col("l").alias("name"), F.col("r").alias("near"), F.col("distance").cast("long").alias("distance"))
 
 
-@REGISTRY.query("artist_aliases")
+@REGISTRY.query(
+    "artist_aliases",
+    f"""WITH u AS (SELECT s.artist, s.mbid_artist, count(*) AS plays {_UNMATCHED} AND s.mbid_artist <> '' GROUP BY 1, 2),
+          un AS (SELECT *, {_n('artist')} AS a FROM u), l AS (SELECT name, mbz_artist_id AS mbid, {_n('name')} AS ta FROM artist),
+          c AS (SELECT un.artist AS source, l.name AS target, row_number() OVER (PARTITION BY un.a ORDER BY plays DESC, un.artist, l.name) AS k
+                FROM un JOIN l ON l.mbid = un.mbid_artist AND l.ta <> un.a WHERE un.a NOT IN (SELECT ta FROM l WHERE ta IS NOT NULL))
+        SELECT source, target FROM c WHERE k = 1""",
+)
 def artist_aliases(spark, sf):
     u = _unmatched(spark, sf, "artist", "mbid_artist")
     own = table(spark, sf, "artist", F.col("name").alias("artist"), F.col("mbz_artist_id").alias("mbid"))

@@ -134,22 +134,35 @@ def near_existing(plays: DataFrame, existing: DataFrame, tolerance: int = 60) ->
 def suppress_near_duplicates(plays: DataFrame, tolerance: int = 60) -> DataFrame:
     """(id, accepted) of ``plays`` (entity, t, id): a play is dropped if an accepted one is at most that far before.
 
-    The fold is greedy and ordered: 0, 50 and 100 seconds give yes, no, yes. Rows further apart than the tolerance
-    cannot influence each other, so each entity is first cut into islands and only an island is folded.
+    The fold is greedy and ordered: 0, 50 and 100 seconds give yes, no, yes. An empty slot of the tolerance's length
+    parts plays that cannot influence each other, so an entity falls into runs of slots in use; the runs are found on
+    distinct slots, whose number is bounded by the calendar and not by the plays, and each run is folded as a stream
+    in time order, with one play in memory.
     """
-    order = Window.partitionBy("entity").orderBy("t", "id")
-    apart = F.coalesce(F.col("t") - F.lag("t").over(order) > tolerance, F.lit(True)).cast("int")
-    islands = plays.withColumn("_new", apart)
-    islands = islands.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = islands.groupBy("entity", "island").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("rows"))
-    empty = F.struct(
-        F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("out")
+    width = max(tolerance, 1)
+    slotted = plays.select("entity", "t", "id", F.floor(F.col("t") / width).alias("slot"))
+    order = Window.partitionBy("entity").orderBy("slot")
+    runs = slotted.select("entity", "slot").distinct()
+    runs = runs.withColumn("run", F.col("slot") - F.row_number().over(order))
+    rows = slotted.join(runs, ["entity", "slot"]).select("entity", "run", "t", "id")
+    return rows.repartition("entity", "run").sortWithinPartitions("entity", "run", "t", "id").mapInArrow(
+        _fold(tolerance), "id long, accepted boolean"
     )
 
-    def step(state: Column, row: Column) -> Column:
-        take = state["last"].isNull() | (row["t"] - state["last"] > tolerance)
-        done = F.struct(row["id"].cast("bigint").alias("id"), take.alias("accepted"))
-        return F.struct(F.when(take, row["t"]).otherwise(state["last"]).alias("last"), F.concat(state["out"], F.array(done)).alias("out"))
 
-    folded = rows.select(F.explode(F.aggregate("rows", empty, step)["out"]).alias("r"))
-    return folded.select("r.id", "r.accepted")
+def _fold(tolerance: int):
+    def run(batches):
+        import pyarrow as pa
+
+        at, last = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("entity", "run", "t", "id")]
+            taken = []
+            for entity, island, t, _ in zip(*columns):
+                take = (entity, island) != at or t - last > tolerance
+                if take:
+                    at, last = (entity, island), t
+                taken.append(take)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[3], pa.int64()), pa.array(taken, pa.bool_())], names=["id", "accepted"])
+
+    return run

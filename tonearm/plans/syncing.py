@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions import text
-from tonearm.operators import filters, matching, recommend, sync
+from tonearm.operators import filters, matching, pipeline, recommend, sync
 from tonearm.operators.stats import top
 from tonearm.plans.listening import NOW, library_plays
 from tonearm.plans import sqltext as q
@@ -472,6 +472,92 @@ def _norm_sides(spark, sf, plays):
     return matching.prepared_requests(plays, t), durable(matching.prepared_library(m, t))
 
 
+_PENDING = """pend AS MATERIALIZED (SELECT s.*, u.id AS uid, CAST(epoch(s.played_at) AS BIGINT) AS sec, NORM_A AS na, NORM_T AS nt FROM scrobbles s JOIN library_user u ON u.user_name = s.lastfm_user
+    LEFT JOIN scrobble_sync y ON y.scrobble_id = s.id AND y.target = 'navidrome' WHERE y.status IS NULL OR y.status = 'pending'),
+  first AS MATERIALIZED (SELECT *, CASE WHEN na <> '' AND nt <> '' THEN first_value(id) OVER (PARTITION BY na, nt ORDER BY played_at, id) ELSE id END AS rep FROM pend)"""
+_OUTCOME = f"""WITH RECURSIVE {_PENDING.replace('NORM_A', _n('s.artist')).replace('NORM_T', _n('s.title'))},
+  {_SIDES.replace('PLAYS', '(SELECT * FROM first WHERE id = rep)')},
+  ans AS MATERIALIZED (SELECT f.id, f.uid, f.sec, best.id AS target_id, CASE stage WHEN 1 THEN 'mbid' WHEN 2 THEN 'triplet' WHEN 3 THEN 'couple' END AS strategy
+       FROM first f JOIN first g ON g.id = f.rep JOIN r ON r.artist IS NOT DISTINCT FROM g.artist AND r.title IS NOT DISTINCT FROM g.title
+            AND r.album IS NOT DISTINCT FROM g.album AND r.mbid_track IS NOT DISTINCT FROM g.mbid_track LEFT JOIN best ON best.k = r.k),
+  dup AS MATERIALIZED (SELECT DISTINCT a.id FROM ans a JOIN library_scrobbles l ON l.user_id = a.uid AND l.media_file_id = a.target_id AND abs(l.submission_time - a.sec) <= 60),
+  o AS MATERIALIZED (SELECT id, uid, target_id, sec, row_number() OVER (PARTITION BY uid, target_id ORDER BY sec, id) AS n FROM ans WHERE target_id IS NOT NULL AND id NOT IN (FROM dup)),
+  f AS (SELECT uid, target_id, n, id, sec AS last, TRUE AS accepted FROM o WHERE n = 1
+        UNION ALL SELECT o.uid, o.target_id, o.n, o.id, CASE WHEN o.sec - f.last > 60 THEN o.sec ELSE f.last END, o.sec - f.last > 60
+        FROM f JOIN o ON o.uid = f.uid AND o.target_id = f.target_id AND o.n = f.n + 1),
+  out AS MATERIALIZED (SELECT ans.id, CASE WHEN ans.target_id IS NULL THEN 'unmatched' WHEN f.accepted THEN 'matched' ELSE 'duplicate' END AS status, ans.target_id, ans.strategy, ans.uid, ans.sec
+          FROM ans LEFT JOIN f ON f.id = ans.id)"""
+
+
+def _outcome(spark, sf):
+    plays = table(spark, sf, "scrobbles", "id", "lastfm_user", "artist", "title", "album", "mbid_track", "played_at")
+    states = table(spark, sf, "scrobble_sync", "scrobble_id", "target", "status")
+    open_ = durable(pipeline.pending_plays(plays, states, table(spark, sf, "library_user", "id", "user_name"), "navidrome"))
+    matched = durable(pipeline.match(open_, _library(spark, sf), filters.moment(NOW)))
+    existing = table(spark, sf, "library_scrobbles", "user_id", "media_file_id", F.col("submission_time").alias("t"))
+    return matched, pipeline.classify(matched, open_, existing)
+
+
+@REGISTRY.query("sync_outcome", _OUTCOME + " SELECT id, status, target_id, strategy FROM out")
+def sync_outcome(spark, sf):
+    return _outcome(spark, sf)[1].select("id", "status", "target_id", "strategy")
+
+
+@REGISTRY.query(
+    "sync_report",
+    _OUTCOME + """ SELECT count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'duplicate') AS duplicates,
+                   count(*) FILTER (status = 'unmatched') AS unmatched, count(*) FILTER (status = 'skipped') AS skipped, count(*) AS considered FROM out""",
+)
+def sync_report(spark, sf):
+    return pipeline.report(_outcome(spark, sf)[1])
+
+
+@REGISTRY.query(
+    "sync_flush",
+    _OUTCOME + f""", new AS (SELECT uid AS user_id, target_id AS media_file_id, sec AS submission_time FROM out WHERE status = 'matched'),
+        c AS (SELECT user_id, media_file_id, count(*) AS n, max(submission_time) AS last FROM (SELECT user_id, media_file_id, submission_time FROM library_scrobbles UNION ALL FROM new) AS x
+              WHERE (user_id, media_file_id) IN (SELECT user_id, media_file_id FROM new) GROUP BY 1, 2)
+        SELECT c.user_id, c.media_file_id AS item_id, CAST(c.n AS INTEGER) AS play_count, {_TS.format("TIMESTAMP '1970-01-01' + to_seconds(c.last)")} AS play_date,
+               coalesce(a.rating, 0) AS rating, coalesce(a.starred, FALSE) AS starred
+        FROM c LEFT JOIN annotation a ON a.user_id = c.user_id AND a.item_id = c.media_file_id AND a.item_type = 'media_file'""",
+)
+def sync_flush(spark, sf):
+    existing = table(spark, sf, "library_scrobbles", "user_id", "media_file_id", "submission_time")
+    _, touched = pipeline.flush(durable(_outcome(spark, sf)[1]), existing, table(spark, sf, "annotation"))
+    return touched.select("user_id", "item_id", "play_count", stamp("play_date").alias("play_date"), "rating", "starred")
+
+
+@REGISTRY.query(
+    "match_memo",
+    _OUTCOME + """ SELECT f.na AS artist_norm, f.nt AS title_norm, min(a.target_id) AS target_id, coalesce(min(a.strategy), 'negative') AS strategy
+                   FROM first f JOIN ans a ON a.id = f.id WHERE f.na <> '' AND f.nt <> '' GROUP BY 1, 2""",
+)
+def match_memo(spark, sf):
+    return pipeline.memo_rows(_outcome(spark, sf)[0], filters.moment(NOW)).drop("resolved_at")
+
+
+_COUNTERS = f"""s AS MATERIALIZED (SELECT *, {_n('artist')} AS a, {_n('title')} AS n, lower(title) AS lt FROM media_file),
+    p AS (SELECT DISTINCT artist, title, mbid_track FROM scrobbles),
+    v AS (SELECT *, 1 AS stage, artist AS va, title AS vt FROM p UNION ALL SELECT *, 2, {q.featured('artist')}, title FROM p
+          UNION ALL SELECT *, 2, artist, {q.title_featuring(f"({q.version('title')})")} FROM p
+          UNION ALL SELECT *, 2, {q.featured('artist')}, {q.title_featuring(f"({q.version('title')})")} FROM p),
+    w AS MATERIALIZED (SELECT *, {_n('va')} AS a, {_n('vt')} AS n, lower(vt) AS lt FROM v WHERE va <> '' AND vt <> ''),
+    h AS (SELECT w.artist, w.title, w.mbid_track, stage, s.id, s.duration FROM w JOIN s USING (a, n, lt)
+          UNION ALL SELECT p.artist, p.title, p.mbid_track, 0, s.id, s.duration FROM p JOIN s ON (s.mbz_track_id = p.mbid_track OR s.mbz_recording_id = p.mbid_track) WHERE p.mbid_track <> '')"""
+
+
+@REGISTRY.query(
+    "counter_target_match",
+    f"WITH {_COUNTERS} SELECT artist, title, mbid_track, arg_min(id, (stage, -duration, id)) AS id FROM h GROUP BY 1, 2, 3",
+)
+def counter_target_match(spark, sf):
+    """Every play against a target that keeps counters, here the library with its durations as counters."""
+    p = table(spark, sf, "scrobbles", "artist", "title", "mbid_track").distinct().withColumn("key", F.xxhash64("artist", "title", "mbid_track"))
+    songs = table(spark, sf, "media_file", "id", "artist", "title", "mbz_track_id", "mbz_recording_id", F.col("duration").alias("playcount"))
+    p = durable(p)
+    return p.join(pipeline.match_counters(p, songs), "key").select("artist", "title", "mbid_track", "id")
+
+
 @REGISTRY.query(
     "fuzzy_match",
     f"""WITH {_SIDES.replace('PLAYS', 'scrobbles')},
@@ -582,10 +668,16 @@ def similar_artists_merged(spark, sf):
     return recommend.merge([source], best.select(F.col("seed").alias("artist")), 30).select("artist", F.round("score", 6).alias("score"))
 
 
-@REGISTRY.query("similar_vectors")
+_VECTORS = """(SELECT q.vec_id AS query, v.vec_id AS near, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), v.vec_id) AS rank
+    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)"""
+
+
+@REGISTRY.query("similar_vectors", f"SELECT query, near, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM {_VECTORS} AS n WHERE rank <= 10")
 def similar_vectors(spark, sf):
     v = table(spark, sf, "embeddings", F.col("vec_id").alias("id"), "embedding")
-    return recommend.nearest_vectors(v.where(F.col("id") % 100 == 0), v, 10)
+    near = recommend.nearest_vectors(v.where(F.col("id") % 100 == 0), v, 10)
+    return near.withColumn("distance", F.round("distance", 6))
 
 
 @REGISTRY.query("similarity_mix")

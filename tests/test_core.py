@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm.functions import text
-from tonearm.operators import filters, matching, orphans, recommend, rolling, stats, sync
-from tonearm.plans import syncing
+from tonearm.operators import filters, matching, orphans, pipeline, recommend, rolling, stats, sync
+from tonearm.plans import listening, syncing
 from tonearm.sources import landing
 
 
@@ -126,6 +126,23 @@ def test_filters():
     assert filters.months_back(datetime(2026, 6, 27), 24) == datetime(2024, 6, 27)
 
 
+def test_windows_reach_the_scan(spark, capsys):
+    for query in (listening.top_tracks_window, listening.hit_parade, listening.window_totals, listening.anniversary_top):
+        query(spark, "/root/testdata/sf0.001").explain("formatted")
+        plan = capsys.readouterr().out
+        assert "GreaterThanOrEqual(submission_time" in plan and "LessThan(submission_time" in plan
+
+
+def test_markers_must_fill_the_bracket(spark):
+    fn = {text.strip_version: [("Song (The Album I Lost)", 0), ("Song (Long Live Rock)", 0), ("X – Live", "X"), ("X (Deluxe)", "X"), ("X [Live at the Hall]", "X"), ("X (Remix)", 0), ("Y - 2011 Remaster", "Y")],
+          text.strip_decoration: [("X (Special)", "X"), ("X (Deluxe)", "X"), ("X (Collector's Edition)", "X"), ("X [Bonus Track Version]", "X"), ("X (Clean)", "X"), ("Remastered Hits", 0)],
+          text.strip_truncated: [("X (Lively", "X"), ("X (foo", 0)], text.has_featuring: [("X (with Y)", True), ("X [ft. Y]", True), ("X (feat. Y", True), ("X (Radio Edit)", False)]}
+    for f, cases in fn.items():
+        for given, wanted in cases:
+            got = spark.createDataFrame([(given,)], "s string").select(f(F.col("s"))).first()[0]
+            assert got == (given if wanted == 0 and not isinstance(wanted, bool) else wanted), (f, given)
+
+
 def test_streaks_kickstart_and_heatmap(spark):
     plays = lambda days: spark.createDataFrame([("u", d) for d in days], "who string, ts timestamp_ntz")
     d = lambda m, n: datetime(2026, m, n, 9)
@@ -185,6 +202,76 @@ def test_cascade_answers_plays_of_every_sync_state(spark, tmp_path):
     assert rows(syncing.fuzzy_match(spark, str(tmp_path))) == [("artist", "othr", "m1", 1), ("artist", "sonk", "m0", 1)]
 
 
+MEDIA = "id string, artist string, album_artist string, title string, album string, mbz_track_id string, mbz_recording_id string"
+
+
+def test_pipeline_sources_answer_in_order(spark):
+    library = spark.createDataFrame([("m1", "La Ruda", "", "Song", "A", None, "id-1"), ("m2", "Alpha", "", "Right Title", "B", None, None), ("m3", "Alpha", "", "Other", "B", "id-3", None)], MEDIA)
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    plays = [(1, "La Ruda Salska", "Song", None, None, at(1)), (2, "Noise", "Skip me", None, None, at(2)), (3, "Noise", "Points", None, None, at(3)), (4, "Alpha", "Rihgt Titel", None, None, at(4)),
+             (5, "Beta", "Cached", None, None, at(5)), (6, "Beta", "No", None, None, at(6)), (7, "Beta", "Old", None, None, at(7)), (8, "Gamma", "Asked", None, None, at(8)), (9, "Alpha", "Othr", None, None, at(9)),
+             (10, "Couple", "First", None, "id-3", at(10)), (11, "couple", "first", None, None, at(11)), (12, "Couple", "first", None, None, at(0)), (13, "!!", "?", None, "id-1", at(13))]
+    p = spark.createDataFrame(plays, "id long, artist string, title string, album string, mbid_track string, played_at timestamp_ntz")
+    tracks = spark.createDataFrame([("noise", "Skip Me", None), ("Noise", "points", "m2")], pipeline.TRACK_ALIAS)
+    artists = spark.createDataFrame([("La Ruda Salska", "La Ruda")], pipeline.ARTIST_ALIAS)
+    day = lambda d: datetime(2024, 1, d)
+    cache = spark.createDataFrame([("beta", "cached", "m1", "couple", day(1)), ("beta", "no", None, "negative", datetime(2024, 2, 20)), ("beta", "old", None, "negative", day(1))], pipeline.CACHE)
+    corrections = spark.createDataFrame([("Alpha", "Rihgt Titel", None, None, "Right Title")], pipeline.LOOKUP)
+    infos = spark.createDataFrame([("Gamma", "Asked", "id-1", None, None)], pipeline.LOOKUP)
+    now = filters.moment(datetime(2024, 3, 1))
+    out = pipeline.match(p, library, now, track_aliases=tracks, artist_aliases=artists, cache=cache, corrections=corrections, infos=infos, fuzzy=2)
+    got = {r.id: (r.target_id, r.strategy, r.source) for r in out.collect()}
+    assert got == {
+        1: ("m1", "couple", "cascade"), 2: (None, None, "skip"), 3: ("m2", None, "alias"), 4: ("m2", "correction", "cascade"), 5: ("m1", "couple", "cache"),
+        6: (None, None, "negative"), 7: (None, None, "cascade"), 8: ("m1", "correction", "cascade"), 9: ("m3", "fuzzy", "cascade"),
+        # The earliest play of the couple, which has no identifier, decides for all of it.
+        10: (None, None, "cascade"), 11: (None, None, "cascade"), 12: (None, None, "cascade"), 13: ("m1", "mbid", "cascade"),
+    }
+    memo = pipeline.memo_rows(out, now)
+    kept = pipeline.remember(cache, memo)
+    assert {(r.artist_norm, r.title_norm, r.target_id, r.strategy) for r in kept.where("artist_norm = 'beta'").collect()} == {("beta", "cached", "m1", "couple"), ("beta", "no", None, "negative"), ("beta", "old", None, "negative")}
+    assert kept.count() == 3 + memo.count() - 1
+    assert pipeline.forget(cache).count() == 0 and pipeline.forget(cache, negative_only=True).count() == 1
+    one = spark.createDataFrame([("beta", "no")], "artist_norm string, title_norm string")
+    assert pipeline.forget(cache, couples=one).count() == 2 and pipeline.forget(cache, artists=one.select("artist_norm")).count() == 0
+
+
+def test_pipeline_classifies_and_flushes(spark):
+    matched = spark.createDataFrame([(i, "m1" if i < 5 else None, "couple", "skip" if i == 6 else "cascade") for i in range(1, 7)], "id long, target_id string, strategy string, source string")
+    plays = spark.createDataFrame([(1, "u", 1000), (2, "u", 1050), (3, "u", 1100), (4, "u", 5030), (5, "u", 9), (6, "u", 9)], "id long, user_id string, t long")
+    existing = spark.createDataFrame([("u", "m1", 5000, 5000), ("v", "m1", 1000, 1000)], "user_id string, media_file_id string, t long, submission_time long")
+    out = pipeline.classify(matched, plays, existing)
+    assert rows(out.select("id", "status")) == [(1, "matched"), (2, "duplicate"), (3, "matched"), (4, "duplicate"), (5, "unmatched"), (6, "skipped")]
+    assert rows(pipeline.classify(matched, plays, existing, dry_run=True).select("id", "status"))[:4] == [(1, "matched"), (2, "matched"), (3, "matched"), (4, "duplicate")]
+    annotation = spark.createDataFrame([("u", "m1", "media_file", 9, None, 4, True, None)], "user_id string, item_id string, item_type string, play_count int, play_date timestamp_ntz, rating int, starred boolean, starred_at timestamp_ntz")
+    new, touched = pipeline.flush(out, existing, annotation)
+    assert rows(new) == [("u", "m1", 1000), ("u", "m1", 1100)]
+    assert [(r.play_count, r.rating, r.starred, r.play_date) for r in touched.collect()] == [(3, 4, True, datetime(1970, 1, 1, 1, 23, 20))]
+    assert pipeline.report(out).first().asDict() == {"matched": 2, "duplicates": 2, "unmatched": 1, "skipped": 1, "considered": 6}
+    songs = spark.createDataFrame([("m1", 5, 1050)], "id string, playcount long, lastplayed long")
+    assert rows(pipeline.counter_sync(out, songs)) == [("m1", 7, 1100)]
+
+
+def test_counter_target_prefers_identifier_then_exact_then_bare(spark):
+    songs = spark.createDataFrame([("1", "Daft", "Get Lucky", None, None, 5), ("2", "Daft", "get lucky", None, None, 9), ("3", "Béta", "Élan", "x", None, 1)], "id string, artist string, title string, mbz_track_id string, mbz_recording_id string, playcount long")
+    asked = spark.createDataFrame([(1, "daft", "GET LUCKY", None), (2, "Daft feat. P", "Get Lucky (Radio Edit)", None), (3, "beta", "Elan", None), (4, "beta", "élan", None), (5, "q", "q", "x")], "key long, artist string, title string, mbid_track string")
+    # A title that differs by its accent only is not found, as the first comparison is in lower case.
+    assert rows(pipeline.match_counters(asked, songs)) == [(1, "2"), (2, "2"), (4, "3"), (5, "3")]
+
+
+def test_nearest_vectors_in_blocks_equal_brute_force(spark):
+    import random
+
+    random.seed(6)
+    data = [(i, None if i == 7 else [random.randint(0, 4) * 1.0 for _ in range(3)]) for i in range(60)]
+    v = spark.createDataFrame(data, "id long, embedding array<double>").repartition(3)
+    got = {(r["query"], r["rank"]): r.near for r in recommend.nearest_vectors(v.where("id < 9"), v, 4, block=3).collect()}
+    known = {i: x for i, x in data if x}
+    for i in (i for i in range(9) if i in known):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(known[i], x)), j) for j, x in known.items() if j != i)[:4]
+        assert [got[i, r] for r in range(1, 5)] == [j for _, j in near]
+
+
 def test_guests_are_left_out_at_every_separator(spark):
     library = spark.createDataFrame([("m1", "x with y feat z", "", "song"), ("m2", "with y", "", "song"), ("m3", "x", "", "song")], "id string, a string, aa string, t string")
     led = matching.couple_entries(library).where("mode = 'feat'").select("a", "id")

@@ -48,6 +48,16 @@ def between(df: DataFrame, column: str, start: datetime | None, end: datetime |
     return df
 
 
+def seconds_between(df: DataFrame, column: str, start: datetime | None, end: datetime | None) -> DataFrame:
+    """``between`` on a column of epoch seconds, as plain numbers that reach the scan."""
+    seconds = lambda when: int((when - datetime(1970, 1, 1)).total_seconds())
+    if start is not None:
+        df = df.where(F.col(column) >= seconds(start))
+    if end is not None:
+        df = df.where(F.col(column) < seconds(end))
+    return df
+
+
 def cascade(df: DataFrame, column: str, year: int | None, month: int | None = None, day: int | None = None) -> DataFrame:
     if year is None:
         return df
@@ -104,5 +114,20 @@ def without_identifiers(media_file: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
-    """One page under a total order; limits are kept within 1..1000."""
-    return df.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 1000))
+    """One page under a total order."""
+    return df.orderBy(*order).offset(max(offset, 0)).limit(max(limit, 1))
+
+
+def search(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """Rows of which some column holds the text, whatever the case; a blank text is no filter."""
+    if not text.strip():
+        return df
+    return df.where(reduce(Column.__or__, [pattern(c, text.strip()) for c in columns]))
+
+
+def runs_filter(runs: DataFrame, kind: str | None = None, status: str | None = None, label: str | None = None) -> DataFrame:
+    """Run-log rows of a kind, a status and a part of the label; newest first is the caller's page order."""
+    for column, wanted in (("type", kind), ("status", status)):
+        if wanted:
+            runs = runs.where(F.col(column) == wanted)
+    return runs.where(pattern("label", label)) if label else runs

@@ -23,7 +23,9 @@ def norms(*columns: DataFrame) -> DataFrame:
 
 
 def with_norm(df: DataFrame, column: Column, into: str, table: DataFrame) -> DataFrame:
-    keyed = df.withColumn("_raw", column)
+    # Rows without the string are spread over the tasks.
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(997)).cast("string"))
+    keyed = df.withColumn("_raw", F.when(present(column), column).otherwise(spread))
     joined = keyed.join(table.select(F.col("raw").alias("_raw"), F.col("norm").alias(into)), "_raw", "left")
     return joined.drop("_raw")
 
@@ -186,12 +188,15 @@ def fuzzy_match(requests: DataFrame, library: DataFrame, most: int) -> DataFrame
     tracks = library.select(F.col("a").alias("la"), F.col("t").alias("lt"), "id").where(
         (F.octet_length("a") <= 255) & (F.octet_length("t") <= 255) & present("a") & present("t")
     )
-    near = near_strings(asked.select("t"), tracks.select("lt"), most).withColumnRenamed("distance", "dt")
+    # The edits of artist and title add up to no less than those of the two as one string, so couples meet on segments
+    # of that string, and a title that many artists share crosses none of them.
+    couple = lambda a, t: F.concat(F.col(a), F.lit("\u0001"), F.col(t))
+    asked, tracks = asked.withColumn("l", couple("a", "t")), tracks.withColumn("r", couple("la", "lt"))
+    near = near_strings(asked.select("l"), tracks.select("r"), most).select("l", "r")
     prefix = lambda x, y: F.substring(x, 1, 3) == F.substring(y, 1, 3)
-    met = asked.join(near, asked.t == near.l).join(tracks, F.col("r") == F.col("lt"))
-    met = met.where(prefix("a", "la") | prefix("t", "lt"))
-    da = text.byte_levenshtein(F.col("a"), F.col("la"), most)
-    scored = met.withColumn("da", da).where((F.col("da") >= 0) & (F.col("da") + F.col("dt") <= most))
+    met = near.join(asked, "l").join(tracks, "r").where(prefix("a", "la") | prefix("t", "lt"))
+    da, dt = text.byte_levenshtein(F.col("a"), F.col("la"), most), text.byte_levenshtein(F.col("t"), F.col("lt"), most)
+    scored = met.withColumn("da", da).withColumn("dt", dt).where("da >= 0 AND dt >= 0").where(F.col("da") + F.col("dt") <= most)
     best = scored.groupBy("a", "t").agg(F.min(F.struct((F.col("da") + F.col("dt")).alias("distance"), "id")).alias("b"))
     return best.select("a", "t", "b.id", "b.distance")
 

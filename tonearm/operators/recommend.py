@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.session import durable
 from tonearm.sources.tables import present
 
 
@@ -41,33 +42,59 @@ def merge(sources: list[DataFrame], excluded: DataFrame, limit: int) -> DataFram
     return merged.join(away, "key", "left_anti").drop("key").orderBy(F.col("score").desc(), "artist").limit(limit)
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
     """(query, near, distance, rank): exact k nearest vectors by Euclidean distance, in blocks of queries.
 
-    ``queries`` is a stated set, held by every task; each task keeps the best ``k`` of its own rows per query before
-    anything is shuffled.
+    ``queries`` is a stated set. The driver streams it and sends one block at a time to the executors; each task
+    compares its rows with the block by matrix products and gives its own best ``k`` per query once, at its end. With
+    several blocks the answers of each are written before the next is read.
     """
-    import numpy as np
-    import pandas as pd
-
-    rows = queries.select("id", "embedding").collect()
-    ids = [r["id"] for r in rows]
-    matrix = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
-
-    def scan(batches):
-        for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            own = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            for i, q in enumerate(ids):
-                d = np.sqrt(((own - matrix[i]) ** 2).sum(1))
-                order = np.lexsort((pdf["id"].to_numpy(), d))[: k + 1]
-                yield pd.DataFrame({"query": q, "near": pdf["id"].to_numpy()[order], "distance": d[order]})
-
+    found, rows = None, []
     local = vectors.select("id", "embedding").where(F.col("embedding").isNotNull())
-    part = local.mapInPandas(scan, "query long, near long, distance double").where(F.col("query") != F.col("near"))
-    order = Window.partitionBy("query").orderBy("distance", "near")
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = queries.select("id", "embedding").where(F.col("embedding").isNotNull())
+
+    def answer(rows: list) -> DataFrame:
+        sent = local.sparkSession.sparkContext.broadcast([(r["id"], list(r["embedding"])) for r in rows])
+        best = local.mapInArrow(_best_of_task(sent, k), "query long, near long, distance double")
+        order = Window.partitionBy("query").orderBy("distance", "near")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    for row in asked.toLocalIterator():
+        if len(rows) == block:
+            part = durable(answer(rows))
+            found, rows = part if found is None else found.unionByName(part), []
+        rows.append(row)
+    last = answer(rows)
+    return last if found is None else found.unionByName(last)
+
+
+def _best_of_task(sent, k: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        asked = sent.value
+        if not asked:
+            return
+        ids = np.array([i for i, _ in asked], np.int64)
+        matrix = np.array([v for _, v in asked], np.float64)
+        near, far = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.array(batch.column("embedding").to_pylist(), np.float64)
+            other = np.broadcast_to(np.array(batch.column("id").to_pylist(), np.int64), (len(ids), len(own)))
+            squares = (matrix**2).sum(1)[:, None] + (own**2).sum(1)[None, :] - 2 * matrix @ own.T
+            squares = np.where(other == ids[:, None], np.inf, squares)
+            near, far = np.concatenate([near, other], 1), np.concatenate([far, squares], 1)
+            if near.shape[1] > k:
+                kept = np.lexsort((near, far), axis=1)[:, :k]
+                near, far = np.take_along_axis(near, kept, 1), np.take_along_axis(far, kept, 1)
+        rows, columns = np.nonzero(np.isfinite(far))
+        distance = np.sqrt(np.maximum(far[rows, columns], 0))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(near[rows, columns]), pa.array(distance)], names=["query", "near", "distance"])
+
+    return run
 
 
 def mix(similar: DataFrame, played: DataFrame, most_plays: int, limit: int) -> DataFrame:

@@ -20,12 +20,21 @@ def distinct_count(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
-def top(df: DataFrame, keys: Sequence, order: Sequence[Column], limit: int | None, **aggregates: Column) -> DataFrame:
+def of_known(groups: DataFrame, item: str, known: DataFrame | None) -> DataFrame:
+    """The groups whose item is in ``known`` (id); plays are counted first, so the join meets groups and not plays."""
+    return groups if known is None else groups.join(known.select(F.col("id").alias(item)), item, "left_semi")
+
+
+def top(
+    df: DataFrame, keys: Sequence, order: Sequence[Column], limit: int | None, known: DataFrame | None = None, **aggregates: Column
+) -> DataFrame:
     """Groups with ``plays`` and further aggregates, ranked by a total order.
 
-    Sort and limit become one TakeOrderedAndProject: each task keeps ``limit`` rows.
+    Sort and limit become one TakeOrderedAndProject: each task keeps ``limit`` rows. With ``known``, the first key
+    must be one of its ids.
     """
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("plays"), *[c.alias(n) for n, c in aggregates.items()])
+    out = of_known(out, keys[0], known) if known is not None else out
     return out.orderBy(*order).limit(limit) if limit else out
 
 
@@ -148,24 +157,24 @@ def kickstart(plays: DataFrame, item: str, limit: int) -> DataFrame:
     return top(hits, [item], [F.col("plays").desc(), F.col("last").desc(), F.col(item)], limit, last=F.max("ts"))
 
 
-def discovered(plays: DataFrame, item: str, since: datetime, limit: int) -> DataFrame:
+def discovered(plays: DataFrame, item: str, since: datetime, limit: int, known: DataFrame | None = None) -> DataFrame:
     seen = plays.groupBy(item).agg(F.min("ts").alias("first"), F.count(F.lit(1)).alias("plays"))
-    return seen.where(F.col("first") >= moment(since)).orderBy(F.col("first").desc(), item).limit(limit)
+    return of_known(seen, item, known).where(F.col("first") >= moment(since)).orderBy(F.col("first").desc(), item).limit(limit)
 
 
-def rediscovered(plays: DataFrame, item: str, window: datetime, silence: datetime, recent: datetime, limit: int) -> DataFrame:
+def rediscovered(plays: DataFrame, item: str, window: datetime, silence: datetime, recent: datetime, limit: int, known: DataFrame | None = None) -> DataFrame:
     """Items heard before the silence, not during it, and again since ``recent``."""
     at = lambda lo, hi: F.count_if((F.col("ts") >= moment(lo)) & ((F.col("ts") < moment(hi)) if hi else F.lit(True)))
     g = plays.groupBy(item).agg(
         at(window, silence).alias("before"), at(silence, recent).alias("during"), at(recent, None).alias("again"), F.max("ts").alias("last")
     )
-    kept = g.where((F.col("before") > 0) & (F.col("during") == 0) & (F.col("again") > 0))
+    kept = of_known(g, item, known).where((F.col("before") > 0) & (F.col("during") == 0) & (F.col("again") > 0))
     return kept.select(item, "before", "again", "last").orderBy(F.col("last").desc(), item).limit(limit)
 
 
-def consistent(plays: DataFrame, item: str, limit: int) -> DataFrame:
+def consistent(plays: DataFrame, item: str, limit: int, known: DataFrame | None = None) -> DataFrame:
     order = [F.col("days").desc(), F.col("plays").desc(), F.col(item)]
-    return top(plays, [item], order, limit, days=F.countDistinct(F.to_date("ts")))
+    return top(plays, [item], order, limit, known, days=F.countDistinct(F.to_date("ts")))
 
 
 def forgotten(plays: DataFrame, entity: str, least: int, before: datetime, now: datetime, limit: int) -> DataFrame:
@@ -176,19 +185,19 @@ def forgotten(plays: DataFrame, entity: str, least: int, before: datetime, now:
     return kept.orderBy((F.col("plays") * F.col("idle_days")).desc(), entity).limit(limit)
 
 
-def hit_parade(plays: DataFrame, item: str, now: datetime, weeks: int = 52, per_week: int = 3) -> DataFrame:
+def hit_parade(plays: DataFrame, item: str, now: datetime, weeks: int = 52, per_week: int = 3, known: DataFrame | None = None) -> DataFrame:
     """(week, rank, item): the best of each trailing week, newest first, an item only where it first appears."""
     seconds = F.expr(f"timestampdiff(SECOND, ts, TIMESTAMP_NTZ'{now:%Y-%m-%d %H:%M:%S}')")
     week = F.ceil(seconds / (7 * 86400)).cast("int")
     inside = plays.where(F.col("ts") < moment(now)).withColumn("week", week).where(F.col("week").between(1, weeks))
     counts = inside.groupBy("week", item).agg(F.count(F.lit(1)).alias("plays"), F.max("ts").alias("last"))
     order = Window.partitionBy("week").orderBy(F.col("plays").desc(), F.col("last").desc(), F.col(item))
-    best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_week)
+    best = of_known(counts, item, known).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_week)
     first = best.groupBy(item).agg(F.min(F.struct("week", "rank")).alias("at"))
     return first.select("at.week", "at.rank", item)
 
 
-def anniversaries(plays: DataFrame, spark, item: str, now: datetime, years: int, per_year: int = 10) -> DataFrame:
+def anniversaries(plays: DataFrame, spark, item: str, now: datetime, years: int, per_year: int = 10, known: DataFrame | None = None) -> DataFrame:
     """(year_back, item, plays): the best of the 30 days that end at each anniversary; the nearest year wins."""
     rows = []
     for y in range(1, years + 1):
@@ -198,7 +207,7 @@ def anniversaries(plays: DataFrame, spark, item: str, now: datetime, years: int,
     hit = plays.join(F.broadcast(windows), (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
     counts = hit.groupBy("year_back", item).agg(F.count(F.lit(1)).alias("plays"), F.max("ts").alias("last"))
     order = Window.partitionBy("year_back").orderBy(F.col("plays").desc(), F.col("last").desc(), F.col(item))
-    best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_year)
+    best = of_known(counts, item, known).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_year)
     return best.groupBy(item).agg(F.min_by(F.struct("year_back", "plays"), "year_back").alias("b")).select("b.year_back", item, "b.plays")
 
 

@@ -73,7 +73,11 @@ def mark_loved(plays: DataFrame, loved: DataFrame) -> DataFrame:
     by_name = loved.join(by_id.select("_n"), "_n", "left_anti")
     name = lambda df: df.select("lastfm_user", F.lower("artist").alias("_a"), F.lower("title").alias("_t")).distinct()
     keyed = plays.withColumn("_a", F.lower("artist")).withColumn("_t", F.lower("title"))
-    keyed = keyed.join(by_id.select("lastfm_user", "mbid_track").distinct().withColumn("_i", F.lit(True)), ["lastfm_user", "mbid_track"], "left")
+    # Most plays have no identifier: they are spread over the tasks.
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("artist", "title"), F.lit(997)).cast("string"))
+    keyed = keyed.withColumn("_m", F.when(present("mbid_track"), F.col("mbid_track")).otherwise(spread))
+    known = by_id.select("lastfm_user", F.col("mbid_track").alias("_m")).distinct().withColumn("_i", F.lit(True))
+    keyed = keyed.join(known, ["lastfm_user", "_m"], "left").drop("_m")
     keyed = keyed.join(name(by_name).withColumn("_m", F.lit(True)), ["lastfm_user", "_a", "_t"], "left")
     now = F.col("loved") | F.coalesce("_i", F.lit(False)) | F.coalesce("_m", F.lit(False))
     return keyed.withColumn("loved", now).select(*plays.columns)

@@ -28,13 +28,21 @@ def local_plays(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return table(spark, sf, "scrobbles", F.col("played_at").alias("ts"), *columns)
 
 
-def library_plays(spark: SparkSession, sf: str, *columns: str, orphans: bool = False) -> DataFrame:
-    """Plays of the library with the columns of their track; without ``orphans`` plays of unknown tracks are dropped."""
-    plays = table(spark, sf, "library_scrobbles", "id", "media_file_id", "user_id", "client", utc("submission_time").alias("ts"))
+def library_plays(spark: SparkSession, sf: str, *columns: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Plays of the library; with ``columns`` of their track, those of unknown tracks are dropped.
+
+    The window is a range of epoch seconds, which the scan can use.
+    """
+    plays = table(spark, sf, "library_scrobbles", "id", "media_file_id", "user_id", "client", "submission_time")
+    plays = filters.seconds_between(plays, "submission_time", start, end).withColumn("ts", utc("submission_time")).drop("submission_time")
     if not columns:
         return plays
     tracks = table(spark, sf, "media_file", F.col("id").alias("media_file_id"), *columns)
-    return plays.join(tracks, "media_file_id", "left" if orphans else "inner")
+    return plays.join(tracks, "media_file_id")
+
+
+def tracks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "media_file", "id")
 
 
 @REGISTRY.query(
@@ -87,7 +95,8 @@ def available_years(spark, sf):
        UNION ALL SELECT 'loved', count(*) FROM (SELECT DISTINCT artist, title FROM scrobbles WHERE loved)""",
 )
 def distinct_counts(spark, sf):
-    s = table(spark, sf, "scrobbles", "artist", "title", "album", "loved")
+    # One shuffle of different triples, which the four counts share.
+    s = table(spark, sf, "scrobbles", "artist", "title", "album", "loved").groupBy("artist", "title", "album").agg(F.max("loved").alias("loved"))
     parts = [
         ("artists", s.where(present("artist")), ["artist"]), ("tracks", s, _UNIQUE),
         ("albums", s.where(present("album")), ["artist", "album"]), ("loved", s.where("loved"), _UNIQUE),
@@ -101,8 +110,10 @@ def distinct_counts(spark, sf):
     _LP + f"SELECT client, count(*) AS plays, count(DISTINCT media_file_id) AS tracks FROM lp WHERE {_W} GROUP BY client",
 )
 def window_totals(spark, sf):
-    p = filters.between(library_plays(spark, sf, "title"), "ts", FROM, TO)
-    return p.groupBy("client").agg(F.count(F.lit(1)).alias("plays"), F.countDistinct("media_file_id").alias("tracks"))
+    p = library_plays(spark, sf, start=FROM, end=TO)
+    per = p.groupBy("client", "media_file_id").agg(F.count(F.lit(1)).alias("n"))
+    known = stats.of_known(per, "media_file_id", tracks(spark, sf))
+    return known.groupBy("client").agg(F.sum("n").alias("plays"), F.count(F.lit(1)).alias("tracks"))
 
 
 @REGISTRY.query("listened_days", "SELECT DISTINCT lastfm_user, strftime(played_at, '%Y-%m-%d') AS day FROM scrobbles")
@@ -182,8 +193,9 @@ def plays_by_dow(spark, sf):
               GROUP BY 1 ORDER BY plays DESC, max(ts) DESC, media_file_id LIMIT 50""",
 )
 def top_tracks_window(spark, sf):
-    p = filters.between(library_plays(spark, sf, "title"), "ts", FROM, TO)
-    out = stats.top(p, ["media_file_id"], [F.col("plays").desc(), F.col("at").desc(), F.col("media_file_id")], 50, at=F.max("ts"))
+    p = library_plays(spark, sf, start=FROM, end=TO)
+    order = [F.col("plays").desc(), F.col("at").desc(), F.col("media_file_id")]
+    out = stats.top(p, ["media_file_id"], order, 50, tracks(spark, sf), at=F.max("ts"))
     return out.select("media_file_id", "plays", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
@@ -197,8 +209,10 @@ def top_tracks_window(spark, sf):
 def top_tracks_windows(spark, sf):
     rows = [(datetime(2023, 6, 1), datetime(2023, 8, 1)), (datetime(2023, 7, 1), datetime(2023, 9, 1)), (datetime(2024, 6, 1), datetime(2024, 9, 1))]
     windows = spark.createDataFrame(rows, "start timestamp_ntz, end timestamp_ntz")
-    p = stats.in_windows(library_plays(spark, sf, "title"), windows)
-    out = stats.top(p, ["media_file_id"], [F.col("plays").desc(), F.col("at").desc(), F.col("media_file_id")], 50, at=F.max("ts"))
+    p = library_plays(spark, sf, start=min(lo for lo, _ in rows), end=max(hi for _, hi in rows))
+    p = stats.in_windows(p, windows)
+    order = [F.col("plays").desc(), F.col("at").desc(), F.col("media_file_id")]
+    out = stats.top(p, ["media_file_id"], order, 50, tracks(spark, sf), at=F.max("ts"))
     return out.select("media_file_id", "plays")
 
 
@@ -270,7 +284,8 @@ def library_top_albums_dates(spark, sf):
 )
 def top_albums_sample_track(spark, sf):
     p = library_plays(spark, sf, "album_id").where(present("album_id"))
-    best = stats.top(filters.between(p, "ts", FROM, TO), ["album_id"], [F.col("plays").desc(), F.col("album_id")], 50)
+    inside = library_plays(spark, sf, "album_id", start=FROM, end=TO).where(present("album_id"))
+    best = stats.top(inside, ["album_id"], [F.col("plays").desc(), F.col("album_id")], 50)
     per = p.groupBy("album_id", "media_file_id").agg(F.count(F.lit(1)).alias("n"))
     sample = per.groupBy("album_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "media_file_id")).alias("s"))
     return sample.join(best, "album_id").select("album_id", "plays", F.col("s.media_file_id").alias("sample_track_id"))
@@ -443,7 +458,7 @@ def kickstart(spark, sf):
          HAVING min(ts) >= TIMESTAMP '2025-05-02' ORDER BY min(ts) DESC, media_file_id LIMIT 50""",
 )
 def recently_discovered(spark, sf):
-    out = stats.discovered(library_plays(spark, sf, "title"), "media_file_id", NOW - timedelta(days=30), 50)
+    out = stats.discovered(library_plays(spark, sf), "media_file_id", NOW - timedelta(days=30), 50, tracks(spark, sf))
     return out.select("media_file_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "plays")
 
 
@@ -457,7 +472,7 @@ def recently_discovered(spark, sf):
 )
 def rediscovered_gems(spark, sf):
     cut = [filters.months_back(NOW, m) for m in (24, 12, 1)]
-    return stats.rediscovered(library_plays(spark, sf, "title"), "media_file_id", *cut, 50).select("media_file_id", "before", "again")
+    return stats.rediscovered(library_plays(spark, sf), "media_file_id", *cut, 50, tracks(spark, sf)).select("media_file_id", "before", "again")
 
 
 @REGISTRY.query(
@@ -466,7 +481,7 @@ def rediscovered_gems(spark, sf):
          ORDER BY days DESC, plays DESC, media_file_id LIMIT 50""",
 )
 def most_consistent(spark, sf):
-    return stats.consistent(library_plays(spark, sf, "title"), "media_file_id", 50)
+    return stats.consistent(library_plays(spark, sf), "media_file_id", 50, tracks(spark, sf))
 
 
 @REGISTRY.query(
@@ -475,8 +490,9 @@ def most_consistent(spark, sf):
          ORDER BY plays DESC, max(ts) DESC, media_file_id LIMIT 50""",
 )
 def day_of_year_top(spark, sf):
-    p = library_plays(spark, sf, "title").where(F.date_format("ts", "MM-dd") == "05-22")
-    return stats.top(p, ["media_file_id"], [F.col("plays").desc(), F.col("at").desc(), F.col("media_file_id")], 50, at=F.max("ts")).drop("at")
+    p = library_plays(spark, sf).where(F.date_format("ts", "MM-dd") == "05-22")
+    order = [F.col("plays").desc(), F.col("at").desc(), F.col("media_file_id")]
+    return stats.top(p, ["media_file_id"], order, 50, tracks(spark, sf), at=F.max("ts")).drop("at")
 
 
 @REGISTRY.query(
@@ -489,7 +505,8 @@ def day_of_year_top(spark, sf):
          SELECT week, CAST(rank AS INTEGER) AS rank, media_file_id FROM b WHERE k = 1""",
 )
 def hit_parade(spark, sf):
-    return stats.hit_parade(library_plays(spark, sf, "title"), "media_file_id", NOW)
+    p = library_plays(spark, sf, start=NOW - timedelta(weeks=53), end=NOW)
+    return stats.hit_parade(p, "media_file_id", NOW, known=tracks(spark, sf))
 
 
 @REGISTRY.query(
@@ -501,7 +518,8 @@ def hit_parade(spark, sf):
          SELECT y AS year_back, media_file_id, plays FROM b WHERE r = 1""",
 )
 def anniversary_top(spark, sf):
-    return stats.anniversaries(library_plays(spark, sf, "title"), spark, "media_file_id", NOW, 2)
+    p = library_plays(spark, sf, start=NOW - timedelta(days=3 * 366), end=NOW)
+    return stats.anniversaries(p, spark, "media_file_id", NOW, 2, known=tracks(spark, sf))
 
 
 _GAPS = """WITH a AS (SELECT strftime(played_at, '%Y-%m') AS month, count(*) AS n FROM scrobbles GROUP BY 1),

@@ -41,8 +41,10 @@ def _unmatched(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 )
 def history_with_status(spark, sf):
     s = table(spark, sf, "scrobbles", "id", "artist", "title", "played_at")
-    h = s.join(_own(spark, sf).select(F.col("scrobble_id").alias("id"), "status"), "id", "left")
-    return filters.page(h, [F.col("played_at").desc(), F.col("id").desc()], 100, 200).withColumn("played_at", stamp("played_at"))
+    # A play has at most one row per target: the page is cut first, and only its rows are looked up.
+    page = filters.page(s, [F.col("played_at").desc(), F.col("id").desc()], 100, 200)
+    rows = _own(spark, sf).select(F.col("scrobble_id").alias("id"), "status").join(F.broadcast(page.select("id")), "id")
+    return page.join(F.broadcast(rows), "id", "left").withColumn("played_at", stamp("played_at"))
 
 
 @REGISTRY.query(

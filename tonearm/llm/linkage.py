@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm.lookalike import fold
-from tonearm.llm.names import link_names, plain
+from tonearm.llm.names import BOUND as EDITS
+from tonearm.llm.names import SEGMENTS, kept_places, link_names, plain
 from tonearm.session import durable
 from tonearm.sources.tables import present
 
@@ -44,8 +45,6 @@ CLASSES = ("same", "other part", "other take", "other title")
 STRENGTH = 100
 #: Share of all candidates that every class holds before it sees data, so rare reasons stay reasons.
 LEAST_SHARE = 0.01
-EDITS = 2
-SEGMENTS = EDITS + 2
 OTHER_TITLES, OTHER_SHARE, OTHER_LETTERS = 3, 0.1, 4
 
 # Words of labels that do not make another recording.
@@ -139,10 +138,7 @@ def near_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     letters = F.xxhash64("entity", F.lit(-1), F.array_sort(F.split("base", "")))
     places = [
         F.when((size + d > 0) & (border(size + d, i) + s >= 0) & (border(size + d, i + 1) + s <= size), key(size + d, i, s))
-        for d in range(-EDITS, EDITS + 1)
-        for i in range(SEGMENTS)
-        for s in range(-EDITS, EDITS + 1)
-        if abs(s) + abs(d + s) <= EDITS
+        for d, i, s in kept_places(range(-EDITS, EDITS + 1))
     ]
     index = right.select(
         F.col("entity").alias("right_entity"),

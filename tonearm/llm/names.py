@@ -45,14 +45,26 @@ BOUND = 2
 #: Of names with at most so many words every order is tried.
 ORDERED = 4
 SEGMENTS = BOUND + 2
-#: (length difference, segment, shift): where a name's neighbour that is no longer than it can keep a segment.
-PLACES = [
-    (d, i, s)
-    for d in range(-BOUND, 1)
-    for i in range(SEGMENTS)
-    for s in range(-BOUND, BOUND + 1)
-    if abs(s) + abs(d + s) <= BOUND
-]
+
+
+def kept_places(lengths: Iterable[int]) -> list[tuple[int, int, int]]:
+    """(length difference, segment, shift): where a neighbour of one of the lengths can keep a segment.
+
+    What is shifted before a segment and after it adds up to the bound at most. Of the whole segments there is always
+    one that is shifted by no more places than segments stand before it, and by no more after it than stand after it:
+    slips crowded on one side leave a segment on the other.
+    """
+    return [
+        (d, i, s)
+        for d in lengths
+        for i in range(SEGMENTS)
+        for s in range(-BOUND, BOUND + 1)
+        if abs(s) + abs(d + s) <= BOUND and abs(s) <= i and abs(d + s) < SEGMENTS - i
+    ]
+
+
+#: A name looks for neighbours that are no longer than it.
+PLACES = kept_places(range(-BOUND, 1))
 #: A trie of one segment holds about this many names; a more frequent segment gets several tries.
 TRIE_NAMES = 2000
 #: One task's table of strings to index and to look up has about this many rows.

@@ -304,3 +304,216 @@ def test_upserts(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k long, v string, at long")
     new = spark.createDataFrame([(1, "c", 2), (2, "d", 4), (3, "e", None)], "k long, v string, at long")
     assert rows(sync.upsert(old, new, ["k"], "at").select("k", "v")) == [(1, "c"), (2, "b"), (3, "e")]
+
+
+def test_playlists_are_isolated_and_empty_ones_change_nothing(spark):
+    from tonearm.operators import playlists
+
+    ids = lambda *x: spark.createDataFrame([(i + 1, v) for i, v in enumerate(x)], "position int, id string")
+
+    def broken():
+        raise RuntimeError("no service")
+
+    existing = spark.createDataFrame([("a", 1, "old"), ("b", 1, "keep"), ("z", 1, "other")], "name string, position int, id string")
+    definitions = {"a": lambda: ids("x", "y"), "b": lambda: ids("x").limit(0), "c": broken, "d": lambda: ids("q"), "off": lambda: ids("q")}
+    runs = playlists.generate(definitions, existing, settings={"playlist.off.enabled": "0"})
+    assert [(r.slug, r.action) for r in runs] == [("a", "replaced"), ("b", "empty"), ("c", "error"), ("d", "created")] and runs[2].error == "no service"
+    assert rows(playlists.kept(existing, runs)) == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "keep"), ("d", 1, "q"), ("z", 1, "other")]
+    assert [r.action for r in playlists.generate(definitions, existing, slug="off", dry_run=True)] == ["dry-run"]
+    with pytest.raises(ValueError):
+        playlists.generate(definitions, existing, slug="nope")
+    assert sorted(r.id for r in playlists.shuffled(ids("a", "b", "c"), 3).collect()) == ["a", "b", "c"]
+
+
+def test_snapshots_settings_and_run_log(spark):
+    from datetime import timedelta
+
+    from tonearm.operators import snapshots
+
+    now = datetime(2024, 5, 1)
+    held = snapshots.compute("u", {"n": spark.createDataFrame([(3,)], "plays long")}, now)
+    both = snapshots.store(snapshots.store(spark.createDataFrame([], snapshots.SCHEMA), held), held)
+    assert [(r.key, r.section, r.payload) for r in both.collect()] == [("u", "n", '[{"plays":3}]')]
+    live = lambda: spark.createDataFrame([(9,)], "plays long")
+    assert snapshots.top_list(both, "u", "n", live, filtered=False).first()[0] == 3
+    assert snapshots.top_list(both, "u", "n", live, filtered=True).first()[0] == snapshots.top_list(both, "v", "n", live, filtered=False).first()[0] == 9
+    assert snapshots.get(both, "v").count() == 0 and snapshots.get(both, "v", lambda: held).count() == 1
+    settings = snapshots.put(snapshots.put(spark.createDataFrame([], "key string, value string"), "k", "1"), "k", "2")
+    assert snapshots.setting(settings, "k") == "2" and snapshots.setting(settings, "q", "d") == "d"
+    ticks = iter(now + timedelta(seconds=s) for s in (0, 2, 10, 11))
+    good = snapshots.recorded(spark, "sync", "r1", "Sync", lambda: next(ticks), lambda: {"matched": 2})
+    bad = snapshots.recorded(spark, "sync", "r2", "Sync", lambda: next(ticks), lambda: 1 / 0)
+    runs = good.unionByName(bad)
+    assert [(r.status, r.metrics, r.duration_ms) for r in runs.orderBy("reference").collect()] == [("success", '{"matched": 2}', 2000), ("error", None, 1000)]
+    assert filters.runs_filter(runs, kind="sync", status="error", label="syn").count() == 1
+    assert snapshots.without_older(runs, "started_at", now + timedelta(seconds=5)).count() == 1
+
+
+def test_aliases_by_album_then_artist(spark):
+    from tonearm.operators import aliases
+
+    library = spark.createDataFrame([("1", "Other Credit", "Ensemble", "alb-1"), ("2", "Arto", "Golden", "x"), ("3", "Arto", "Silver", "x"), ("4", "Twin", "Twinn", "y"), ("5", "Twin", "Twina", "y")], "id string, artist string, title string, mbz_album_id string")
+    couples = [("Orelsan", "Ensemble", ["alb-1"], 5), ("Arto", "Goldne", [], 3), ("Arto", "Silver", [], 2), ("Twin", "Twin", ["y"], 1), ("Arto", "Zzzzzz", ["none"], 1), ("Known", "Couple", [], 1), ("Q", "Silverr", ["x"], 1), ("Q", "", [], 1)]
+    df = spark.createDataFrame(couples, "artist string, title string, albums array<string>, plays long")
+    existing = spark.createDataFrame([("known", "couple")], "a string, t string")
+    got = {(r.artist, r.title): (r.id, r.strategy, r.state) for r in aliases.track_aliases(df, library, existing).collect()}
+    assert got == {
+        ("Orelsan", "Ensemble"): ("1", "album-exact", "alias"), ("Arto", "Goldne"): ("2", "artist-fuzzy", "alias"), ("Arto", "Silver"): (None, None, "resolvable"),
+        ("Twin", "Twin"): (None, None, "ambiguous"), ("Arto", "Zzzzzz"): (None, None, "none"), ("Known", "Couple"): (None, None, "existing"), ("Q", "Silverr"): ("3", "album-fuzzy", "alias"),
+    }
+
+
+def test_suggestions_from_looked_up_candidates(spark):
+    from tonearm.operators import aliases
+
+    unmatched = spark.createDataFrame([("Prince Rogers", 9), ("Two Faced", 8), ("Owned", 7), ("Rare", 1), ("Low", 6), ("Aliased", 5)], "artist string, plays long")
+    library = spark.createDataFrame([("Prince",), ("PRINCE",), ("Face A",), ("Face B",), ("owned",)], "name string")
+    c = [("Prince Rogers", "m1", "Prince", 100, ["prince", "Symbol"]), ("Two Faced", "m2", "Face A", 90, ["Face B", " "]), ("Low", "m3", "Prince", 79, None), ("Rare", "m1", "Prince", 99, None)]
+    candidates = spark.createDataFrame(c, "query string, mbid string, name string, score int, aliases array<string>")
+    out = aliases.suggest(unmatched, candidates, library, spark.createDataFrame([("aliased",)], "source_artist string"), least_plays=2)
+    assert rows(out.select("source", "kind", "targets")) == [("Low", "none", None), ("Prince Rogers", "unique", ["PRINCE"]), ("Two Faced", "ambiguous", ["Face A", "Face B"])]
+    assert rows(aliases.candidate_names(candidates.limit(1)).select("name")) == [("Prince",), ("Symbol",)]
+
+
+def test_recommendations_leave_out_owned_and_ignored(spark):
+    merged = spark.createDataFrame([("A", 9.0, "id-a"), ("Béta", 8.0, None), ("C", 7.0, None), ("D", 6.0, ""), ("E", 5.0, None)], "artist string, score double, mbid string")
+    found = spark.createDataFrame([("C", 0, "id-c", 90), ("D", 0, "id-d", 84), ("D", 1, "id-x", 99), ("E", 0, "id-e", 85)], "query string, pos int, mbid string, score int")
+    name = lambda *n: spark.createDataFrame([(x,) for x in n], "artist string")
+    ids = spark.createDataFrame([("id-c",), (None,)], "mbid string")
+    out = recommend.recommend(merged, found, name("beta"), name("zzz"), ids, 3)
+    assert [tuple(r) for r in out.collect()] == [("A", 9.0, "id-a"), ("D", 6.0, None), ("E", 5.0, "id-e")]
+    snapshot = recommend.saved(out, "2024-01-01").unionByName(spark.createDataFrame([("x", "no json")], "generated_at string, payload string"))
+    assert [r.artist for r in recommend.loaded(snapshot).collect()] == ["A", "D", "E"]
+    assert [r.artist for r in recommend.loaded(recommend.removed(snapshot.limit(1), "id-a", "D")).collect()] == ["D", "E"]
+    assert [r.artist for r in recommend.loaded(recommend.removed(snapshot.limit(1), None, " d")).collect()] == ["A", "E"]
+    once = recommend.ignore(spark.createDataFrame([("name", "a")], "kind string, value string"), "id-a", "A")
+    assert rows(once) == [("mbid", "id-a"), ("name", "a")]
+    scores = recommend.from_recordings(spark.createDataFrame([("r", 0.5), ("s", 0.25)], "recording string, score double"), spark.createDataFrame([("r", "m", "N"), ("s", "m", "N"), ("q", "m", "N")], "recording string, mbid string, name string"))
+    assert rows(scores) == [("N", 75.0, "m")]
+
+
+def test_library_lookups_and_shapes(spark):
+    from tonearm.operators import library
+
+    users = spark.createDataFrame([("u1", "admin")], "id string, user_name string")
+    assert library.user_id(users, "admin") == "u1"
+    with pytest.raises(LookupError):
+        library.user_id(users, "nobody")
+    plays = spark.createDataFrame([("b",), ("a",), ("",), ("",), ("",), (None,)], "lastfm_user string")
+    assert library.default_user(plays) == "a" and library.default_user(plays.limit(0)) is None
+    media = spark.createDataFrame([("m1", "A", "T"), ("m2", "", "U"), ("m3", None, "")], "id string, artist string, title string")
+    ids = spark.createDataFrame([(1, "m3"), (2, "gone"), (3, "m1"), (4, "m2")], "pos int, id string")
+    assert [tuple(r) for r in library.labels(ids, media).collect()] == [(1, "m3", ""), (3, "m1", "A — T"), (4, "m2", "U")]
+    assert [r.id for r in library.missing_ids(ids, media).collect()] == ["gone"]
+    notes = spark.createDataFrame([("m1", "media_file", 3)], "item_id string, item_type string, play_count int")
+    assert sorted(r.id for r in library.never_played(notes, media, 5, 1).collect()) == ["m2", "m3"]
+    shaped = library.insert_shape(spark.createDataFrame([("u", 1)], "user_id string, play_count int"), ["ann_id", "user_id", "rated_at"])
+    assert shaped.columns == ["ann_id", "user_id", "rated_at"] and len(shaped.first().ann_id) == 36
+    asked = spark.createDataFrame([("art", "sonk"), ("artt", "song")], "a string, t string")
+    owned = spark.createDataFrame([("art", "va", "song")], "a string, aa string, t string")
+    told = library.suggestions(matching.diagnose(asked, owned.withColumn("id", F.lit("m"))), asked, owned)
+    assert {(r.a, r.verdict): (r.artists and r.artists[0].name, r.titles and r.titles[0].distance) for r in told.collect()} == {("art", "title_near_match"): (None, 1), ("artt", "artist_near_match"): ("art", None)}
+
+
+def test_landed_answers(spark):
+    page = lambda value, **more: spark.createDataFrame([(value, *more.values())], ", ".join(["value string", *[f"{k} string" for k in more]]))
+    loved = landing.loved_tracks(page('{"lovedtracks":{"track":{"name":"T","mbid":"","artist":{"name":"A"},"date":{"uts":"0"}}}}'), "u")
+    assert rows(loved) == [("u", "A", "T", None, None)]
+    similar = landing.similar_artists(page('{"similarartists":{"artist":[{"name":" ","match":"1"},{"name":" B ","mbid":"m","match":"0.5","url":"x"}]}}', seed="A"))
+    assert rows(similar) == [("A", "B", "m", 0.5, "x")]
+    known = lambda value, path="track": rows(landing.lookups(page(value, artist="Ac", title="Ti"), path))[0][2:]
+    assert known('{"track":{"name":"ti ","mbid":"m","artist":{"name":"AC/DC"}}}') == ("m", "AC/DC", None)
+    assert known('{"corrections":{"correction":{"track":{"name":"Tin","artist":{"name":"ac"}}}}}', "corrections.correction.track") == (None, None, "Tin")
+    assert known('{"error":6,"message":"no"}') == known("oops") == (None, None, None)
+    lists = landing.playlists(page('{"subsonic-response":{"playlists":{"playlist":[{"id":"1","name":"P","owner":"me","songCount":2},{"id":"2","name":"P","owner":"you"}]}}}'))
+    assert rows(landing.playlist_named(lists, "P", "you")) == [("2", "P", "you", 0)]
+    tracks = landing.playlist_tracks(page('{"subsonic-response":{"playlist":{"id":"1","name":"P","entry":[{"id":"x","title":"T"},{"id":"y"}]}}}'))
+    assert rows(tracks.select("position", "id")) == [(1, "x"), (2, "y")]
+    assert rows(landing.recommended_recordings(page('{"payload":{"mbids":[{"recording_mbid":"r","score":0.5},{"recording_mbid":""}]}}'))) == [("r", 0.5)] and landing.recommended_recordings(page("")).count() == 0
+    assert rows(landing.recording_artists(page('{"r":{"artist":{"artists":[{"artist_mbid":"m","name":"N"},{"name":"no id"}]}}}'))) == [("r", "m", "N")]
+    assert rows(landing.artist_candidates(page('{"artists":[{"id":"m","name":"N","score":91,"aliases":[{"name":"X"}]},{"id":"n","name":"O"}]}', query="q")).select("pos", "mbid", "score", "aliases")) == [(0, "m", 91, ["X"]), (1, "n", 0, [])]
+    assert rows(landing.known_ids(page('[{"foreignArtistId":"m"},{"foreignArtistId":""}]'))) == [("m",)]
+    assert landing.search_phrase(' a"b ') == 'artist:"a\\"b"' and landing.search_phrase(" ") is None
+    assert [len(c) for c in landing.in_chunks([str(i % 60) for i in range(120)])] == [50, 10]
+
+
+def test_client_retries_and_signs():
+    import hashlib
+
+    from tonearm.sources import client
+
+    answers = iter([OSError("lost"), (503, "busy"), (200, '{"ok":1}')])
+
+    def transport(params):
+        got = next(answers)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    waits = []
+    assert client.call(transport, {}, pause=waits.append) == {"ok": 1} and waits == [1.0, 2.0]
+    with pytest.raises(client.ServiceError) as told:
+        client.call(lambda p: (200, '{"error":6,"message":"not found"}'), {})
+    assert told.value.code == 6
+    with pytest.raises(client.ServiceError):
+        client.call(lambda p: (429, "slow"), {}, pause=lambda s: None)
+    pages = client.paged(lambda p: (200, '{"x":{"@attr":{"totalPages":"3"}}}'), {}, "x")
+    assert len(list(pages)) == 3
+    sent = []
+    assert client.write_loves([{"artist": "A", "title": "T"}], lambda p: sent.append(p) or (200, "{}"), "k", "s", "sess") == 1
+    assert sent[0]["api_sig"] == hashlib.md5(b"api_keykartistAmethodtrack.lovesksesstrackTs").hexdigest()
+    assert client.artist_to_add([{"foreignArtistId": "m"}], "m", 1, "/f")["monitored"]
+    with pytest.raises(LookupError):
+        client.artist_to_add([], "m", 1, "/f")
+
+
+def test_backups(spark, tmp_path):
+    from tonearm.sources import backup
+
+    path, target = str(tmp_path / "t.parquet"), str(tmp_path / "copies")
+    spark.range(3).write.parquet(path)
+    at = lambda d: datetime(2024, 1, d)
+    for d in (1, 2, 3):
+        copy = backup.backup(spark, path, target, "t", at(d), keep=2)
+    assert backup.quick_check(spark, copy, ["id"]) == 3
+    with pytest.raises(ValueError):
+        backup.quick_check(spark, copy, ["other"])
+    assert backup.prune_older_than(spark, target, 0, at(9)) == [] and len(backup.prune_older_than(spark, target, 6, at(9))) == 1
+    assert backup.due(None, at(1)) and not backup.due(at(1), at(1)) and backup.due(at(1), at(2))
+
+
+def test_sync_helpers(spark):
+    cache = spark.createDataFrame([("a", None, datetime(2024, 1, 1)), ("b", None, datetime(2024, 3, 1)), ("c", "m", datetime(2020, 1, 1))], "artist_norm string, target_id string, resolved_at timestamp_ntz")
+    now = filters.moment(datetime(2024, 3, 2))
+    assert sorted(r.artist_norm for r in sync.purge_stale(cache, "resolved_at", now, 30).collect()) == ["b", "c"] and sync.purge_stale(cache, "resolved_at", now, 0).count() == 3
+    assert sync.purge(cache, cache.limit(1), ["artist_norm"]).count() == 2
+    stars = sync.add_stars(spark.createDataFrame([("u", "m", "media_file", 1, None, 0, False, None)], "user_id string, item_id string, item_type string, play_count int, play_date timestamp_ntz, rating int, starred boolean, starred_at timestamp_ntz"), spark.createDataFrame([("u", "m"), ("u", "n")], "user_id string, item_id string"), now)
+    assert rows(stars.select("item_id", "starred", "starred_at")) == [("m", True, datetime(2024, 3, 2)), ("n", True, datetime(2024, 3, 2))]
+    loved = spark.createDataFrame([("A", "T", None)], "artist string, title string, mbid string")
+    pulled = sync.pull_loves(loved, spark.createDataFrame([], "mbid string, item_id string"), spark.createDataFrame([("A", "T", "m")], "artist string, title string, item_id string"))
+    assert rows(pulled) == [("A", "T", None, "m")]
+    assert landing.fetch_window(datetime(2024, 1, 2), datetime(2024, 2, 1)) == (datetime(2024, 1, 1, 23), None)
+    assert landing.fetch_window(None, datetime(2024, 2, 3), None, "2024-02-02") == (datetime(2024, 2, 1), datetime(2024, 2, 3))
+    assert filters.period_bounds("7d", datetime(2024, 1, 8)) == (datetime(2024, 1, 1), datetime(2024, 1, 8)) and filters.period_bounds("all-time", datetime(2024, 1, 8)) == (None, None)
+    one = spark.createDataFrame([("A B", "C&D", "")], "a string, t string, e string")
+    assert one.select(text.search_url("http://x/", F.col("a"), F.col("t"))).first()[0] == "http://x/A+B/C%26D" and one.select(text.search_url("http://x/", F.col("a"), F.col("e"))).first()[0] is None
+    assert one.select(text.correction_or_null(F.col("a"), F.lit(" a b "))).first()[0] is None
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    from tonearm.streaming import ingest
+
+    source, folder, other = tmp_path / "scrobbles.parquet", str(tmp_path / "a"), str(tmp_path / "b")
+    schema = "lastfm_user string, played_at timestamp_ntz, artist string, title string"
+    add = lambda *r: spark.createDataFrame([("u", datetime(2024, 1, d, h), "a", t) for d, h, t in r], schema).write.mode("append").parquet(str(source))
+    add((1, 1, "x"), (1, 1, "x"), (1, 2, "y"))
+    run = lambda: (
+        ingest.run_to_table(ingest.deduplicated(ingest.play_stream(spark, str(tmp_path))).select("title"), folder),
+        ingest.run_to_totals(ingest.daily_counts(ingest.play_stream(spark, str(tmp_path)), "lastfm_user"), ["lastfm_user", "day"], other),
+    )
+    once, totals = run()
+    assert rows(once) == [("x",), ("y",)] and rows(totals) == [("u", "2024-01-01", 3)]
+    # A repeat within the lateness is no new play; a late play changes its day's total.
+    add((1, 1, "x"), (1, 5, "z"), (2, 1, "w"))
+    once, totals = run()
+    assert rows(once) == [("w",), ("x",), ("y",), ("z",)] and rows(totals) == [("u", "2024-01-01", 5), ("u", "2024-01-02", 1)]

@@ -4,10 +4,10 @@ import pytest
 from compare import both, connect
 
 import __spark_entry__
-from tonearm.plans import listening, syncing, upkeep
+from tonearm.plans import library, listening, syncing, upkeep
 
 SF = "/root/testdata/sf0.001"
-CORE = {n: (q, r.sql[n]) for r in (upkeep.REGISTRY, listening.REGISTRY, syncing.REGISTRY) for n, q in r.queries.items() if n in r.sql}
+CORE = {n: (q, r.sql[n]) for r in (upkeep.REGISTRY, listening.REGISTRY, syncing.REGISTRY, library.REGISTRY) for n, q in r.queries.items() if n in r.sql}
 
 
 @pytest.fixture(scope="module")

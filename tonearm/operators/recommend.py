@@ -1,4 +1,4 @@
-"""Seeds, merged recommendations and similarity mixes."""
+"""Seeds, merged recommendations, their snapshots, and exact nearest vectors."""
 
 from __future__ import annotations
 
@@ -97,9 +97,65 @@ def _best_of_task(sent, k: int):
     return run
 
 
-def mix(similar: DataFrame, played: DataFrame, most_plays: int, limit: int) -> DataFrame:
-    """(item, hits, distance): items near several seeds and hardly played, more hits first."""
-    grouped = similar.groupBy(F.col("near").alias("item")).agg(F.count(F.lit(1)).alias("hits"), F.min("distance").alias("distance"))
-    away = similar.select(F.col("query").alias("item")).distinct()
-    counted = grouped.join(away, "item", "left_anti").join(played, "item", "left").where(F.coalesce("plays", F.lit(0)) <= most_plays)
-    return counted.select("item", "hits", "distance").orderBy(F.col("hits").desc(), "distance", "item").limit(limit)
+def from_recordings(recordings: DataFrame, artists: DataFrame, scale: float = 100.0) -> DataFrame:
+    """(artist, score, mbid) from recommended recordings (recording, score) and their artists (recording, mbid, name)."""
+    met = artists.join(recordings.groupBy("recording").agg(F.max("score").alias("score")), "recording")
+    return met.groupBy("mbid").agg(F.min("name").alias("artist"), (F.sum("score") * scale).alias("score")).select("artist", "score", "mbid")
+
+
+def best_candidates(candidates: DataFrame, least_score: int = 85) -> DataFrame:
+    """(artist, found): the identifier of each looked-up name's best candidate, if its score is high enough.
+
+    ``candidates`` is (query, pos, mbid, score) in the order in which the lookup gave them.
+    """
+    first = candidates.groupBy("query").agg(F.min(F.struct("pos", "mbid", "score")).alias("x"))
+    return first.where(F.col("x.score") >= least_score).select(F.col("query").alias("artist"), F.col("x.mbid").alias("found"))
+
+
+def recommend(
+    merged: DataFrame, candidates: DataFrame, owned: DataFrame, ignored_names: DataFrame, ignored_ids: DataFrame, limit: int
+) -> DataFrame:
+    """(artist, score, mbid) of the best merged recommendations (artist, score, mbid) that are not owned or ignored.
+
+    Names are compared by the normaliser. An identifier that no source gave comes from the looked-up ``candidates``;
+    one that is in ``ignored_ids`` (mbid) drops the artist, a missing one does not.
+    """
+    from tonearm.operators import matching
+
+    norm = durable(matching.norms(merged.select("artist"), owned.select("artist"), ignored_names.select("artist")))
+    named = lambda df: matching.with_norm(df, F.col("artist"), "a", norm).where(present("a"))
+    away = named(owned.select("artist").unionByName(ignored_names.select("artist"))).select("a").distinct()
+    left = named(merged).join(away, "a", "left_anti").join(best_candidates(candidates), "artist", "left")
+    known = left.withColumn("mbid", F.coalesce(F.nullif("mbid", F.lit("")), "found"))
+    # An anti join keeps rows without identifier, as it must.
+    kept = known.join(ignored_ids.select("mbid").where(present("mbid")).distinct(), "mbid", "left_anti")
+    return kept.select("artist", "score", "mbid").orderBy(F.col("score").desc(), "artist").limit(limit)
+
+
+SNAPSHOT = "array<struct<artist:string,score:double,mbid:string>>"
+
+
+def saved(recommendations: DataFrame, at: str) -> DataFrame:
+    """(generated_at, payload): a snapshot of a short ranked list, as JSON."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "artist", "score", "mbid")))
+    listed = F.transform(rows, lambda x: F.struct(x["artist"].alias("artist"), x["score"].alias("score"), x["mbid"].alias("mbid")))
+    return recommendations.agg(F.to_json(listed).alias("payload")).select(F.lit(at).alias("generated_at"), "payload")
+
+
+def loaded(snapshot: DataFrame) -> DataFrame:
+    """(generated_at, artist, score, mbid) of a snapshot; one that is no JSON gives nothing."""
+    rows = snapshot.select("generated_at", F.from_json("payload", SNAPSHOT).alias("rows")).where(F.col("rows").isNotNull())
+    return rows.select("generated_at", F.inline("rows"))
+
+
+def removed(snapshot: DataFrame, mbid: str | None, name: str) -> DataFrame:
+    """The snapshot without an artist: by identifier, or by name, whatever its case, if there is none."""
+    gone = (lambda x: F.coalesce(x["mbid"], F.lit("")) == mbid) if mbid else (lambda x: F.lower(F.trim(x["artist"])) == name.strip().lower())
+    rows = F.filter(F.from_json("payload", SNAPSHOT), lambda x: ~gone(x))
+    return snapshot.select("generated_at", F.to_json(rows).alias("payload"))
+
+
+def ignore(ignored: DataFrame, mbid: str | None, name: str) -> DataFrame:
+    """(kind, value) of ignored identifiers and names with one artist added; each is listed once."""
+    rows = [("mbid", mbid)] * bool(mbid) + [("name", name.strip().lower())] * bool(name.strip())
+    return ignored.unionByName(ignored.sparkSession.createDataFrame(rows, "kind string, value string")).distinct()

@@ -112,6 +112,25 @@ def add_stars(annotation: DataFrame, stars: DataFrame, now: Column) -> DataFrame
     )
 
 
+def pull_loves(loved: DataFrame, by_id: DataFrame, by_couple: DataFrame) -> DataFrame:
+    """(artist, title, mbid, item_id) of loved tracks: the track of the identifier, or else of the couple.
+
+    ``by_id`` is (mbid, item_id) and ``by_couple`` (artist, title, item_id), as the cascade's stages answer.
+    """
+    first = by_id.select("mbid", F.col("item_id").alias("_i"))
+    second = by_couple.select("artist", "title", F.col("item_id").alias("_c"))
+    met = loved.join(first, "mbid", "left").join(second, ["artist", "title"], "left")
+    return met.select("artist", "title", "mbid", F.coalesce("_i", "_c").alias("item_id"))
+
+
+def loves_to_push(starred: DataFrame, loved: DataFrame) -> DataFrame:
+    """(artist, title) of starred tracks that are not loved yet, each couple once; names and case as first written."""
+    keyed = lambda df: df.select(F.trim("artist").alias("artist"), F.trim("title").alias("title")).where(present("artist") & present("title"))
+    key = lambda df: keyed(df).withColumn("_a", F.lower("artist")).withColumn("_t", F.lower("title"))
+    new = key(starred).join(key(loved).select("_a", "_t").distinct(), ["_a", "_t"], "left_anti")
+    return new.groupBy("_a", "_t").agg(F.min(F.struct("artist", "title")).alias("x")).select("x.artist", "x.title")
+
+
 def counter_deltas(songs: DataFrame, plays: DataFrame) -> DataFrame:
     """Songs (id, playcount, lastplayed) after plays (id, epoch): counts add up, the last play is the later one."""
     delta = plays.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last"))

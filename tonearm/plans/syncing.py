@@ -682,22 +682,13 @@ def similar_vectors(spark, sf):
     return near.withColumn("distance", F.round("distance", 6))
 
 
-@REGISTRY.query("similarity_mix")
-def similarity_mix(spark, sf):
-    v = table(spark, sf, "embeddings", F.col("vec_id").alias("id"), "embedding")
-    near = durable(recommend.nearest_vectors(v.where(F.col("id") % 100 == 0), v, 20).drop("rank"))
-    played = table(spark, sf, "events", F.col("user_id").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("plays"))
-    return recommend.mix(near, played, 50, 25)
-
-
 @REGISTRY.query(
     "stream_ingest_dedup",
     "SELECT lastfm_user, count(*) AS plays FROM (SELECT DISTINCT lastfm_user, played_at, artist, title FROM scrobbles) z GROUP BY 1",
 )
 def stream_ingest_dedup(spark, sf):
-    # The whole table is one late batch here, so the lateness covers its whole span.
-    once = ingest.deduplicated(ingest.play_stream(spark, sf), "2000 days").select(*sync.PLAY_KEY)
-    return ingest.run_to_table(once, "tonearm_stream_plays", "append").groupBy("lastfm_user").agg(F.count(F.lit(1)).alias("plays"))
+    once = ingest.deduplicated(ingest.play_stream(spark, sf)).select(*sync.PLAY_KEY)
+    return ingest.run_to_table(once).groupBy("lastfm_user").agg(F.count(F.lit(1)).alias("plays"))
 
 
 @REGISTRY.query(
@@ -705,5 +696,5 @@ def stream_ingest_dedup(spark, sf):
     "SELECT lastfm_user, strftime(played_at, '%Y-%m-%d') AS day, count(*) AS plays FROM scrobbles GROUP BY 1, 2",
 )
 def stream_daily_counts(spark, sf):
-    counts = ingest.daily_counts(ingest.play_stream(spark, sf), "lastfm_user", "2000 days")
-    return ingest.run_to_table(counts, "tonearm_stream_days", "complete")
+    counts = ingest.daily_counts(ingest.play_stream(spark, sf), "lastfm_user")
+    return ingest.run_to_totals(counts, ["lastfm_user", "day"])

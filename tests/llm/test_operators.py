@@ -117,6 +117,16 @@ def test_canonical_form_through_sql_equals_python(spark):
         lookalike.canonical_column(df, "text", "form")
 
 
+def test_look_alikes_beyond_greek_and_cyrillic(spark):
+    same = {"Abba": ["𝐀𝐛𝐛𝐚", "Αbbα", "Ꭺbbа", "𝕬bb​a"], "Soul": ["Տօul", "Sοսl"], "pay": ["ρаγ"], "ب": ["ﺏ", "ﺑ"]}
+    for plain, others in same.items():
+        assert {lookalike.fold(o) for o in others} == {plain}
+    texts = [t for plain, others in same.items() for t in (plain, *others)]
+    got = {r.text: r.canonical for r in lookalike.canonical_column(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()}
+    assert got == {t: lookalike.fold(t) for t in texts}
+    assert lookalike.fold("a") != lookalike.fold("ά") and lookalike.fold("ß") == "ß"
+
+
 def test_heavy_hitters_are_exact_and_whole(spark):
     random.seed(1)
     data = [("hot", None)] * 300 + [("warm", "")] * 12 + [(f"v{random.randint(0, 10**9)}", f"t{i % 40}") for i in range(688)]

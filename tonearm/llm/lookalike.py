@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other alphabets with the shape of a Latin letter.
-CYRILLIC_LATIN = ("АВЕЅІЈКМНОРСТХԚԜУаеѕіјорсухԁһԛԝ", "ABESIJKMHOPCTXQWYaesijopcyxdhqw")
-GREEK_LATIN = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο", "ABEZHIKMNOPTYXvo")
+CYRILLIC_LATIN = ("АВЕЅІЈКМНОРСТХԚԜУҮӀѴԌаеѕіјорсухԁһԛԝүӏѵ", "ABESIJKMHOPCTXQWYYIVGaesijopcyxdhqwylv")
+GREEK_LATIN = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοαιρυγ", "ABEZHIKMNOPTYXvoaipuy")
+ARMENIAN_LATIN = ("ՕՍՏօսհոցզ", "OUSouhngq")
+CHEROKEE_LATIN = ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPSTVWZ")
 # Hyphens drawn as the ASCII one.
 HYPHENS = "‐‑"
 # Characters without ink (joiners, marks of direction, soft hyphen, variation selectors).
@@ -34,7 +36,9 @@ INVISIBLE = (
     "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿"
 )
 
-_COMPAT_KINDS = {"<wide>", "<narrow>"}
+_COMPAT_KINDS = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>"}
+#: Letters and digits in the type styles of mathematics.
+STYLES = range(0x1D400, 0x1D800)
 
 
 @cache
@@ -42,14 +46,18 @@ def tables() -> tuple[dict[int, str], dict[str, str]]:
     """(one character to one, one character to several)."""
     one: dict[int, str] = {ord(h): "-" for h in HYPHENS}
     several: dict[str, str] = {}
-    letters = dict(zip(*CYRILLIC_LATIN)) | dict(zip(*GREEK_LATIN))
+    letters = dict(zip(*CYRILLIC_LATIN)) | dict(zip(*GREEK_LATIN)) | dict(zip(*ARMENIAN_LATIN)) | dict(zip(*CHEROKEE_LATIN))
     one |= {ord(k): v for k, v in letters.items()}
+    for code in STYLES:
+        plain = unicodedata.normalize("NFKC", chr(code))
+        if plain != chr(code) and len(plain) == 1:
+            one[code] = letters.get(plain, plain)
     for code in range(0x80, 0x10000):
         c = chr(code)
         kind, _, rest = unicodedata.decomposition(c).partition(" ")
         if unicodedata.category(c) == "Zs":
             one[code] = " "
-        elif kind in _COMPAT_KINDS:
+        elif kind in _COMPAT_KINDS and " " not in rest:
             one[code] = chr(int(rest, 16))
         elif kind == "<compat>" and (0xFB00 <= code <= 0xFB06 or 0x2160 <= code <= 0x217F):
             plain = unicodedata.normalize("NFKC", c)
@@ -106,14 +114,14 @@ def _canonical(column: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect()
-        con.execute("SET threads = 1")
-        for batch in batches:
-            texts = pa.table({"s": batch.column(batch.schema.get_field_index(column))})
-            form = con.from_arrow(texts).query("t", canonical_sql("s")).to_arrow_table().column("form")
-            form = form.cast(pa.string())
-            whole = form.combine_chunks() if form.num_chunks != 1 else form.chunk(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, into])
+        with duckdb.connect() as con:
+            con.execute("SET threads = 1")
+            for batch in batches:
+                texts = pa.table({"s": batch.column(batch.schema.get_field_index(column))})
+                form = con.from_arrow(texts).query("t", canonical_sql("s")).to_arrow_table().column("form")
+                form = form.cast(pa.string())
+                whole = form.combine_chunks() if form.num_chunks != 1 else form.chunk(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, into])
 
     return run
 

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 MAX_ERROR = 32
 #: Length of a stretch of time in seconds: one entity's rows within it are the least that one task can hold.
 STRETCH = 86_400
+#: One task matches about so many rows, held in arrays.
+SHARD_ROWS = 2_000_000
 
 
 class LearnedIndex:
@@ -146,14 +148,17 @@ def nearest_in_time(
     keep_unmatched: bool = False,
     stretch: int = STRETCH,
     shards: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """(left_id, right_id) from two tables (id long, entity string, t long seconds).
 
-    ``stretch`` bounds how much of one entity meets in one task; ``shards`` (by default twice the shuffle
-    partitions) is the number of groups the pieces are gathered into.
+    ``stretch`` bounds how much of one entity meets in one task; ``shards`` is the number of groups the pieces are
+    gathered into, by default twice the shuffle partitions, or, where the caller knows that the two tables hold about
+    ``rows`` rows, as many as hold ``SHARD_ROWS`` of them each.
     """
     stretch = max(stretch, 2 * tolerance + 1)
-    shards = shards or 2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = 2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(least, (rows or 0) // SHARD_ROWS)
     usable = F.col("entity").isNotNull() & (F.col("entity") != "") & F.col("t").isNotNull() & F.col("id").isNotNull()
     slot = lambda t: F.floor(t / F.lit(stretch))
     shard = F.pmod(F.xxhash64("entity", "slot"), F.lit(shards)).alias("shard")

@@ -27,7 +27,8 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # The public pattern that cuts text into pieces before byte-level merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHARDS = 64
+#: A length is ranked in at least ``SHARDS`` parts, and in as many as keep a part within ``SHARD_ROWS`` documents.
+SHARDS, SHARD_ROWS = 64, 1_000_000
 
 _encodings: dict[str, object] = {}
 
@@ -96,7 +97,7 @@ def plan_slots(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, i
     return runs
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY, shards: int = SHARDS) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = CAPACITY, shards: int | None = None) -> DataFrame:
     """(container, doc_id, piece, first_token, n_tokens) of ``lengths`` (doc_id long, tokens long)."""
     spark = lengths.sparkSession
     whole = F.floor(F.col("tokens") / capacity)
@@ -106,9 +107,10 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, shards: int = SHARDS) ->
             "doc_id",
             "piece",
             F.when(F.col("piece") < whole, F.lit(capacity)).otherwise(F.col("tokens") % capacity).cast("long").alias("n_tokens"),
-            F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard"),
         )
     )
+    shards = shards or max(SHARDS, -(-pieces.count() // SHARD_ROWS))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     counts = durable(pieces.groupBy("n_tokens", "shard").agg(F.count(F.lit(1)).alias("n")))
     # At most capacity + 1 rows reach the driver, whatever the number of documents.
     histogram = {r.n_tokens: r.n for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}

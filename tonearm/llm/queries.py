@@ -69,10 +69,15 @@ def _plays_and_library(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFra
     return left, right
 
 
+def _stored_rows(spark: SparkSession, sf: str) -> int:
+    """Rows of both play logs, from the files' own counts."""
+    return table(spark, sf, "scrobbles").count() + table(spark, sf, "library_scrobbles").count()
+
+
 @REGISTRY.query("p5_found", _NEAREST_SQL + "SELECT scrobble_id, library_scrobble_id FROM pairs WHERE k = 1")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     left, right = _plays_and_library(spark, sf)
-    found = neartime.nearest_in_time(left, right, 120)
+    found = neartime.nearest_in_time(left, right, 120, rows=_stored_rows(spark, sf))
     return found.select(F.col("left_id").alias("scrobble_id"), F.col("right_id").alias("library_scrobble_id"))
 
 
@@ -84,7 +89,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 )
 def p5_all_plays(spark: SparkSession, sf: str) -> DataFrame:
     left, right = _plays_and_library(spark, sf)
-    found = neartime.nearest_in_time(left, right, 120, keep_unmatched=True)
+    found = neartime.nearest_in_time(left, right, 120, keep_unmatched=True, rows=_stored_rows(spark, sf))
     return found.select(F.col("left_id").alias("scrobble_id"), F.col("right_id").alias("library_scrobble_id"))
 
 

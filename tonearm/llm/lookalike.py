@@ -39,6 +39,8 @@ INVISIBLE = (
 _COMPAT_KINDS = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>"}
 #: Letters and digits in the type styles of mathematics.
 STYLES = range(0x1D400, 0x1D800)
+#: Letters in the shapes that they take within a word.
+SHAPES = range(0xFB50, 0xFE00)
 
 
 @cache
@@ -80,14 +82,19 @@ def _quoted(text: str) -> str:
 def canonical_sql(column: str) -> str:
     """The DuckDB query of the canonical form ``form`` of ``column`` of the relation t."""
     one, several = tables()
-    spread = reduce(lambda e, kv: f"replace({e}, {_quoted(kv[0])}, {_quoted(kv[1])})", several.items(), "x")
-    spread = f"CASE WHEN regexp_matches(x, '[{''.join(several)}]') THEN {spread} ELSE x END"
+    # A long table costs with every string, so rare letters are looked up only in strings that hold one.
+    rare = {k: v for k, v in one.items() if k in STYLES or k in SHAPES}
+    one = {k: v for k, v in one.items() if k not in rare}
+    plain = f"translate(x, {_quoted(''.join(map(chr, rare)))}, {_quoted(''.join(rare.values()))})"
+    plain = f"CASE WHEN regexp_matches(x, '[{chr(STYLES[0])}-{chr(STYLES[-1])}{chr(SHAPES[0])}-{chr(SHAPES[-1])}]') THEN {plain} ELSE x END"
+    spread = reduce(lambda e, kv: f"replace({e}, {_quoted(kv[0])}, {_quoted(kv[1])})", several.items(), "y")
+    spread = f"CASE WHEN regexp_matches(y, '[{''.join(several)}]') THEN {spread} ELSE y END"
     chars, images = _quoted("".join(map(chr, one))), _quoted("".join(one.values()))
     # Width comes before composition, so that a narrow kana joins its mark; then marks sit on the mapped letters.
     form = f"nfc_normalize(translate(nfc_normalize(translate({spread}, {chars}, {images})), {chars}, {images}))"
     return (
-        f"SELECT CASE WHEN x IS NULL OR regexp_full_match(x, '[\\x00-\\x7F]*') THEN x ELSE {form} END AS form "
-        f"FROM (SELECT regexp_replace({column}, '[{INVISIBLE}]', '', 'g') AS x FROM t)"
+        f"SELECT CASE WHEN y IS NULL OR regexp_full_match(y, '[\\x00-\\x7F]*') THEN y ELSE {form} END AS form "
+        f"FROM (SELECT {plain} AS y FROM (SELECT regexp_replace({column}, '[{INVISIBLE}]', '', 'g') AS x FROM t))"
     )
 
 

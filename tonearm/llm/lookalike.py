@@ -39,6 +39,7 @@ INVISIBLE = (
 _COMPAT_KINDS = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>"}
 #: Letters and digits in the type styles of mathematics.
 STYLES = range(0x1D400, 0x1D800)
+STYLED = re.compile(f"[{chr(STYLES[0])}-{chr(STYLES[-1])}]")
 #: Letters in the shapes that they take within a word.
 SHAPES = range(0xFB50, 0xFE00)
 
@@ -103,7 +104,9 @@ def fold(text: str) -> str:
     if text.isascii():
         return text
     seen, images = _fold_table()
-    swap = lambda m: images[m.group()]
+    swap = lambda m: images.get(m.group(), m.group())
+    # A set with characters beyond the basic plane is searched one by one, so these go first and by a range.
+    text = STYLED.sub(swap, text)
     text = unicodedata.normalize("NFC", seen.sub(swap, text))
     return unicodedata.normalize("NFC", seen.sub(swap, text))
 
@@ -114,7 +117,7 @@ def _fold_table() -> tuple[re.Pattern, dict[str, str]]:
     hidden = re.compile(f"[{INVISIBLE}]")
     images = {chr(c): "" for c in range(0x10000) if hidden.match(chr(c))}
     images |= {chr(k): v for k, v in one.items()} | several
-    return re.compile("[" + re.escape("".join(images)) + "]"), images
+    return re.compile("[" + re.escape("".join(c for c in images if c < "\U00010000")) + "]"), images
 
 
 def _canonical(column: str, into: str):

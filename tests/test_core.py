@@ -119,6 +119,16 @@ def test_strings(spark, fn, given, wanted):
     assert spark.createDataFrame([(None,)], "s string").select(fn(F.col("s"))).first()[0] is None
 
 
+def test_track_numbers_go_and_blanks_stay(spark, tmp_path):
+    from compare import both, connect
+
+    titles = ["01 - X", " 01 X ", "X (feat. The ", "02_X\t", "1979", "01 - ", "01\x0bX", "3. \u00a0X", "01-\nX\n", "1234 X", "", None]
+    spark.createDataFrame([(t,) for t in titles + titles[:3]], "title string").toPandas().to_parquet(tmp_path / "scrobbles.parquet")
+    got, want = both(spark, connect(tmp_path), "titles", syncing.track_number_titles, syncing.REGISTRY.sql["track_number_titles"], str(tmp_path))
+    assert got == want and len(got) == 11
+    assert {r[1]: r[0] for r in got}["X (feat. The "] == "X (feat. The "
+
+
 def test_filters():
     assert filters.parse_cascade("2024", "13", "1") == (2024, None, None)
     assert filters.cascade_range(2024, 2, 31) is None

@@ -96,6 +96,11 @@ def strip_title_featuring(c: Column) -> Column:
     return _tidy(F.regexp_replace(out, f"(?iU)\\s*\\[(?:{GUEST_OR_WITH})\\s+[^)\\]]+\\]\\s*$", ""))
 
 
+def without_track_number(c: Column) -> Column:
+    """A title without a track number in front of it; the rest stays as it is, blanks at its end too."""
+    return F.regexp_replace(c, "^\\d{1,3}[_\\-. \\t\\n\\f\\r]+(?=[^ \\t\\n\\f\\r])", "")
+
+
 def strip_track_number(c: Column) -> Column:
     return _tidy(F.regexp_replace(c, "^\\d{1,3}[_\\-.\\s]+(?=\\S)", ""))
 

@@ -365,7 +365,7 @@ def song_counters(spark, sf):
 )
 def track_number_titles(spark, sf):
     t = table(spark, sf, "scrobbles", "title").where(F.col("title").isNotNull()).distinct()
-    return t.select("title", text.strip_track_number(F.col("title")).alias("bare"))
+    return t.select("title", text.without_track_number(F.col("title")).alias("bare"))
 
 
 @REGISTRY.query("couple_keys", "SELECT DISTINCT lower(trim(artist)) AS a, lower(trim(title)) AS t FROM media_file")

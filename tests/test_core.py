@@ -402,6 +402,19 @@ def test_recommendations_leave_out_owned_and_ignored(spark):
     assert rows(scores) == [("N", 75.0, "m")]
 
 
+def test_equal_recommendation_scores_tie(spark):
+    parts = {"A": [0.3] * 3, "B": [0.9], "C": [0.1] * 9, "D": [0.7, 0.2], "E": [0.8]}
+    seed = spark.createDataFrame([(str(i), 1.0) for i in range(9)] + [("w", 3.0)], "artist string, weight double")
+    similar = [(str(i), a, m) for a, ms in parts.items() for i, m in enumerate(ms)] + [("w", "F", 0.3), ("w", "G", 0.1)]
+    found = recommend.from_similar(seed, spark.createDataFrame(similar, "seed string, artist string, match double"))
+    assert rows(found.select("artist", "score")) == [("A", 0.9), ("B", 0.9), ("C", 0.9), ("D", 0.9), ("E", 0.8), ("F", 0.9), ("G", 0.3)]
+    source = lambda s: found.select("artist", "score", F.lit(None).cast("string").alias("mbid"), F.lit(s).alias("source"))
+    none = spark.createDataFrame([], "artist string")
+    merged = recommend.merge([source("s"), source("t"), source("u")], none, None)
+    assert rows(merged.select("artist", "score")) == [("A", 2.7), ("B", 2.7), ("C", 2.7), ("D", 2.7), ("E", 2.4), ("F", 2.7), ("G", 0.9)]
+    assert [r.artist for r in recommend.merge([source("s")], none, 3).collect()] == ["A", "B", "C"]
+
+
 def test_library_lookups_and_shapes(spark):
     from tonearm.operators import library
 

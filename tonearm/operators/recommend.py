@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.session import durable
@@ -21,25 +21,34 @@ def seeds(sources: list[tuple[DataFrame, float]], limit: int) -> DataFrame:
     return grouped.select(F.col("first.artist").alias("artist"), "weight").orderBy(F.col("weight").desc(), "artist").limit(limit)
 
 
+def _total(score: Column) -> Column:
+    """The sum of the scores as decimals: it does not depend on the order of the rows, so equal totals tie exactly."""
+    return F.sum(score.cast("decimal(28,12)")).cast("double")
+
+
 def from_similar(seed: DataFrame, similar: DataFrame) -> DataFrame:
     """(artist, score, seed): similarity times seed weight, summed; the strongest seed is kept."""
     met = similar.join(seed.select(F.col("artist").alias("seed"), "weight"), "seed").where(present("artist"))
     return met.groupBy(F.lower("artist").alias("key")).agg(
-        F.sum(F.col("match") * F.col("weight")).alias("score"),
+        _total(F.col("match") * F.col("weight")).alias("score"),
         F.max(F.struct("weight", "seed")).alias("s"),
         F.min("artist").alias("artist"),
     ).select("artist", "score", F.col("s.seed").alias("seed"))
 
 
-def merge(sources: list[DataFrame], excluded: DataFrame, limit: int) -> DataFrame:
-    """Sources of (artist, score, mbid, source) merged by name: scores add up, the first identifier is kept."""
+def merge(sources: list[DataFrame], excluded: DataFrame, limit: int | None) -> DataFrame:
+    """Sources of (artist, score, mbid, source) merged by name: scores add up, the first identifier is kept.
+
+    Without a ``limit`` every artist is kept, in no order.
+    """
     every = reduce(DataFrame.unionByName, sources).withColumn("key", F.lower(F.trim("artist")))
     merged = every.groupBy("key").agg(
-        F.sum("score").alias("score"), F.min("artist").alias("artist"),
+        _total(F.col("score")).alias("score"), F.min("artist").alias("artist"),
         F.min(F.nullif("mbid", F.lit(""))).alias("mbid"), F.array_sort(F.collect_set("source")).alias("sources"),
     )
     away = excluded.select(F.lower(F.trim("artist")).alias("key")).distinct()
-    return merged.join(away, "key", "left_anti").drop("key").orderBy(F.col("score").desc(), "artist").limit(limit)
+    left = merged.join(away, "key", "left_anti").drop("key")
+    return left.orderBy(F.col("score").desc(), "artist").limit(limit) if limit is not None else left
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:

@@ -436,7 +436,7 @@ def recommended_artists(spark, sf):
     """Artists like the most played ones, without those, and without the library's artists that have an identifier."""
     best, pages = _similar(spark, sf)
     found = recommend.from_similar(best, landing.similar_artists(pages))
-    merged = recommend.merge([found.select("artist", "score", F.lit(None).cast("string").alias("mbid"), F.lit("similar").alias("source"))], best.select("artist").limit(0), 1_000_000)
+    merged = recommend.merge([found.select("artist", "score", F.lit(None).cast("string").alias("mbid"), F.lit("similar").alias("source"))], best.select("artist").limit(0), None)
     owned = table(spark, sf, "artist", F.col("name").alias("artist"), "mbz_artist_id").where(present("mbz_artist_id"))
     none = spark.createDataFrame([], "query string, pos int, mbid string, score int")
     out = recommend.recommend(merged, none, owned, best.select("artist"), spark.createDataFrame([], "mbid string"), 30)
